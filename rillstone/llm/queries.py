@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact_dedup, simhash_neardup
+from rillstone.llm import exact_dedup, fingerprint, packing, simhash_neardup
 from rillstone.llm.common import table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.report(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"), keep="max")
 
@@ -21,6 +30,8 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
