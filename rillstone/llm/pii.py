@@ -1,0 +1,282 @@
+"""Personal data by weak supervision, in DataFrame operations only.
+
+Patterns propose candidate spans. Four labelers vote on each (+1, -1 or 0 to abstain): the
+strict form of its kind, a gazetteer (top-level domains, calling codes, issuer prefixes,
+given names, reserved networks), cue words in the context before it, and the characters
+around it. Expectation-maximisation over the counts of vote patterns estimates each
+labeler's reliability for the two hidden classes; the posteriors it ends with train the
+final classifier, a logistic model over votes and kind, and that decides on the spans.
+Spans of the four base kinds that pass their check are always kept.
+
+Everything that touches texts is a Spark expression. Only the table of vote patterns, at
+most kinds x 3^4 rows whatever the corpus, reaches the driver. The candidates (narrow
+rows) are written to the shared folder, so the texts are scanned once.
+
+A match's place comes from splitting the text by the pattern: the lengths of the pieces
+and matches before it add up to its start, in code points. Patterns carry \\G and
+possessive quantifiers so that they find exactly the leftmost non-overlapping matches of
+the plain forms without walking back over long runs.
+
+Defined results: a null text is the empty text, which has no spans; an empty table gives
+no rows; repeated or null ids are separate rows; other columns are not read by ``detect``
+and pass through ``masked`` untouched.
+"""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rillstone.llm.common import materialise, whole_text
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "address", "local_phone", "ssn", "iban", "person")
+LABELERS = ("form", "gazetteer", "context", "border")
+#: Code points of context that the cue words are looked up in.
+CONTEXT = 40
+
+# Fixed patterns: the base kinds' plain forms, made linear.
+_PATTERN = {
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "address": r"(?i)\b[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]) ?[a-z0-9-]{1,63}+){1,4}+",
+    "local_phone": r"(?<![0-9+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "person": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?+",
+}
+# A cheap test without which a text cannot match.
+_NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "address": "at"}
+# Fixed word lists of the gazetteer and context labelers.
+_DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|us|ca|br|mx|co|me|biz|dev|app"
+_CALLING = "1|7|20|27|3[0-469]|4[0-14-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+_ISSUERS = "4|5[1-5]|2[2-7]|3[47]|3[068]|6011|65|62|35"
+_NAMES = "John|Mary|James|Anna|Peter|Maria|Hans|Julia|Jean|Marie|Pierre|Carlos|Ana|Juan|Luis|Laura|Thomas|Michael|Sarah|David"
+_CUES = {
+    "email": r"e-?mail|contact|write to|mailto|correo|courriel",
+    "ip": r"\bip\b|address|host|server|client|from",
+    "card": r"card|visa|master|credit|karte|carte|tarjeta|paid",
+    "phone": r"tel|phone|call|mobile|fax|handy|tél|llame",
+    "address": r"e-?mail|contact|write to|reach|correo|courriel",
+    "local_phone": r"tel|phone|call|mobile|fax|handy|tél|llame",
+    "ssn": r"ssn|social|security",
+    "iban": r"iban|account|bank|konto|compte|cuenta",
+    "person": r"name|dear|sincerely|regards|signed|patient|client",
+}
+_ANTI_CUES = r"version|isbn|issn|doi|order no|invoice|serial|build|release|figure|table|section|commit"
+
+_SPAN = "array<struct<kind: string, start: bigint, end: bigint, votes: array<int>>>"
+
+
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def _luhn(value: Column) -> Column:
+    digits = _digits(value)
+    n = F.length(digits)
+
+    def add(total: Column, k: Column) -> Column:
+        d = F.substr(digits, n - k, F.lit(1)).cast("int")
+        twice = F.when(d >= 5, d * 2 - 9).otherwise(d * 2)
+        return total + F.when(k % 2 == 1, twice).otherwise(d)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10 == 0
+
+
+def _small_parts(value: Column) -> Column:
+    """All dotted parts at most 255, whatever zeros lead them."""
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.forall(F.split(value, r"\."), lambda x: (F.length(plain(x)) <= 3) & (F.substr(plain(x), F.lit(1), F.lit(3)).cast("int") <= 255))
+
+
+def _valid(kind: str, value: Column) -> Column:
+    """The check that a base kind's match must pass, and the strict form of any other kind."""
+    n = F.length(_digits(value))
+    if kind == "ip":
+        return _small_parts(value)
+    if kind == "card":
+        return n.between(13, 19) & _luhn(value)
+    if kind == "phone":
+        return n.between(9, 15)
+    if kind == "ssn":
+        return ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")
+    if kind == "iban":
+        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34)
+    if kind == "local_phone":
+        return value.rlike(r"^\(?[2-9]")
+    return F.lit(True)
+
+
+def _gazetteer(kind: str, value: Column) -> Column:
+    known = {
+        "email": value.rlike(rf"(?i)\.(?:{_DOMAINS})$"),
+        "ip": ~value.rlike(r"^(?:0|127|255)\."),
+        "card": _digits(value).rlike(f"^(?:{_ISSUERS})"),
+        "phone": _digits(value).rlike(f"^(?:{_CALLING})"),
+        "address": value.rlike(rf"(?i)(?:{_DOMAINS})$"),
+        "iban": value.rlike("^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|PT|IE|LU|PL|SE|NO|DK|FI)"),
+        "person": value.rlike(rf" (?:{_NAMES})\b"),
+    }
+    return F.when(known[kind], 1).otherwise(-1) if kind in known else F.lit(0)
+
+
+def _candidates(kind: str, text: Column) -> tuple[Column, Column]:
+    """Matches and the pieces between them; both null where the text has none."""
+    pattern = _PATTERN[kind]
+    able = text.contains(_NEEDS[kind]) if kind in _NEEDS else F.lit(True)
+    found = F.when(able, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.when(F.size(found) > 0, found), F.split(text, pattern, -1)
+
+
+def _placed(kind: str, matches: Column, gaps: Column) -> Column:
+    """The matches as spans with votes, base kinds that fail their check left out."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+    def step(acc: Column, k: Column) -> Column:
+        value, gap, after = matches[k], gaps[k], gaps[k + 1]
+        begin = acc["at"] + F.length(gap)
+        end = begin + F.length(value)
+        context = F.lower(F.right(gap, F.lit(CONTEXT)))
+        valid = _valid(kind, value)
+        votes = F.array(
+            F.when(valid, 1).otherwise(-1),
+            _gazetteer(kind, value),
+            F.when(context.rlike(_CUES[kind]), 1).when(context.rlike(_ANTI_CUES), -1).otherwise(0),
+            F.when(F.right(gap, F.lit(1)).rlike(r"[A-Za-z0-9_]") | F.left(after, F.lit(1)).rlike("[A-Za-z0-9_]"), -1).otherwise(1),
+        )
+        one = F.struct(F.lit(kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), votes.alias("votes"))
+        keep = valid if kind in BASE_KINDS else F.lit(True)
+        return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["spans"], F.array(one).cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["spans"])
+    return F.when(matches.isNull(), F.array().cast(_SPAN)).otherwise(folded)
+
+
+def candidates(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """docs with a column of candidate spans (kind, start, end, votes), by kind as listed, then start."""
+    names, text = docs.columns, whole_text(f"`{text_col}`")
+    found = docs.select(*[F.col(f"`{c}`") for c in names], *[_candidates(k, text)[0].alias(f"_m_{k}") for k in KINDS])
+    split = found.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"_m_{k}") for k in KINDS], *[F.when(F.col(f"_m_{k}").isNotNull(), _candidates(k, text)[1]).alias(f"_g_{k}") for k in KINDS])
+    return split.select(*[F.col(f"`{c}`") for c in names], F.concat(*[_placed(k, F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in KINDS]).alias(spans_col))
+
+
+# -- reliabilities and the classifier, over vote patterns ----------------------------------
+
+Pattern = tuple[str, tuple[int, ...], float]
+
+
+def estimate(patterns: list[Pattern], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:
+    """Posteriors of vote patterns (kind, votes, count) by expectation-maximisation; votes count as independent given the class."""
+    kinds = sorted({k for k, _, _ in patterns})
+    prior = dict.fromkeys(kinds, 0.7)
+    # Of labeler j, class c: probabilities of the votes -1, 0, 1. A labeler starts out more right than wrong.
+    rates = [[[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]] for _ in LABELERS]
+    posterior: dict[tuple[str, tuple[int, ...]], float] = {}
+    for _ in range(rounds):
+        for kind, votes, _ in patterns:
+            no, yes = 1 - prior[kind], prior[kind]
+            for j, v in enumerate(votes):
+                no *= rates[j][0][v + 1]
+                yes *= rates[j][1][v + 1]
+            posterior[kind, votes] = yes / (yes + no)
+        for kind in kinds:
+            own = [(posterior[k, v], n) for k, v, n in patterns if k == kind]
+            prior[kind] = (7 + sum(p * n for p, n in own)) / (10 + sum(n for _, n in own))
+        for j in range(len(LABELERS)):
+            for c in (0, 1):
+                sums = [3.0 * r for r in ([0.5, 0.3, 0.2], [0.2, 0.3, 0.5])[c]]
+                for kind, votes, n in patterns:
+                    p = posterior[kind, votes]
+                    sums[votes[j] + 1] += n * (p if c else 1 - p)
+                rates[j][c] = [s / sum(sums) for s in sums]
+    return posterior
+
+
+def train(patterns: list[Pattern], rounds: int = 300, rate: float = 0.5) -> tuple[dict[str, float], list[float]]:
+    """Logistic regression on the posteriors: an intercept for each kind and a weight for each labeler."""
+    posterior = estimate(patterns)
+    intercepts, weights = {k: 0.0 for k in KINDS}, [0.0] * len(LABELERS)
+    scale = {k: math.log1p(sum(n for kind, _, n in patterns if kind == k)) for k in KINDS}
+    shares = [(k, v, scale[k] * n / max(1.0, sum(m for kind, _, m in patterns if kind == k)), posterior[k, v]) for k, v, n in patterns]
+    total = sum(n for _, _, n, _ in shares) or 1.0
+    for _ in range(rounds):
+        step_k, step_w = dict.fromkeys(KINDS, 0.0), [0.0] * len(LABELERS)
+        for kind, votes, n, target in shares:
+            z = intercepts[kind] + sum(w * v for w, v in zip(weights, votes, strict=True))
+            error = n / total * (target - 1 / (1 + math.exp(-z)))
+            step_k[kind] += error
+            for j, v in enumerate(votes):
+                step_w[j] += error * v
+        intercepts = {k: v + 4 * rate * step_k[k] for k, v in intercepts.items()}
+        weights = [w + rate * s for w, s in zip(weights, step_w, strict=True)]
+    return intercepts, weights
+
+
+def _kept(spans: Column, model: tuple[dict[str, float], list[float]]) -> Column:
+    """Base spans, and others that the classifier gives at least even odds."""
+    intercepts, weights = model
+    bias = F.create_map(*[F.lit(x) for k, v in intercepts.items() for x in (k, float(v))])
+    odds = lambda s: reduce(lambda a, b: a + b, [s["votes"][j] * F.lit(float(w)) for j, w in enumerate(weights)], bias[s["kind"]])
+    return F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS) | (odds(s) >= 0))
+
+
+def fitted(found: DataFrame, spans_col: str = "spans") -> tuple[dict[str, float], list[float]]:
+    """The classifier for a table of candidates; at most len(KINDS) * 3^4 rows reach the driver."""
+    each = found.select(F.explode(spans_col).alias("s")).groupBy("s.kind", "s.votes").count()
+    return train([(r["kind"], tuple(r["votes"]), float(r["count"])) for r in each.collect()])
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans): the personal data of every row as spans (kind, start, end), by kind as listed, then start."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = materialise(candidates(rows).select("id", "spans"), "pii-candidates")
+    kept = _kept(F.col("spans"), fitted(found))
+    return found.select("id", F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+
+def digest(detected: DataFrame) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans, and all spans in one string."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE_KINDS]
+    return detected.select("id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+    """docs with each span of personal data replaced by its kind in brackets; texts without any stay as they are.
+
+    Overlapping spans become one, named after the first. count_col, if there is such a
+    column, gets the new length of changed texts. The columns and their order stay.
+    """
+    names = docs.columns
+    work = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    found = materialise(candidates(work, text, "spans"), "pii-candidates")
+    ordered = F.array_sort(F.transform(_kept(F.col("spans"), fitted(found)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        before = F.substr(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(before, mark))).otherwise(acc["parts"]).alias("parts"))
+
+    rest = lambda acc: F.array_join(F.concat(acc["parts"], F.array(F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))), "")
+    clean = F.when(F.size("marked") > 0, F.aggregate("marked", start, step, rest)).otherwise(F.col(text))
+    marked = found.withColumn("marked", ordered).withColumn("clean", clean)
+    columns = []
+    for i, name in enumerate(names):
+        column = F.col(f"c{i}")
+        if name == text_col:
+            column = F.col("clean")
+        elif name == count_col:
+            column = F.when(F.size("marked") > 0, F.length("clean").cast(docs.schema[name].dataType)).otherwise(column)
+        columns.append(column.alias(name))
+    return marked.select(*columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact_dedup, fingerprint, packing, simhash_neardup
+from rillstone.llm import exact_dedup, fingerprint, packing, pii, secret_scan, simhash_neardup
 from rillstone.llm.common import table
 
 
@@ -29,11 +29,21 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
