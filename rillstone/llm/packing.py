@@ -26,6 +26,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from rillstone.llm.common import bounded_batches, materialise
 SIZE = 1024
 END_ID = 0
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class ByteBpe:
@@ -52,12 +53,10 @@ class ByteBpe:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, special: str = "<|endoftext|>") -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks_path, "rb"))}
         self.plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.full = Tokenizer.from_file(json_path)
-        self.special = special
+        self.json_path, self.special = json_path, special
         plain = self.plain
         assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -70,6 +69,12 @@ class ByteBpe:
 
         self.words = Words()
 
+    @cached_property
+    def full(self):  # noqa: ANN201
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> bytes:
         if self.special in text:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
