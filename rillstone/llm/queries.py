@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact_dedup, fingerprint, packing, pii, secret_scan, simhash_neardup
+from rillstone.llm import exact_dedup, fingerprint, packing, pii, quality, secret_scan, simhash_neardup
 from rillstone.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -42,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
 }
