@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact_dedup, fingerprint, packing, pii, quality, secret_scan, simhash_neardup
+from rillstone.llm import exact_dedup, fingerprint, packing, pii, quality, secret_scan, simhash_neardup, warc
 from rillstone.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"), keep="max")
 
@@ -48,6 +52,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_quality": op7_quality,
@@ -56,6 +61,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+        g AS (SELECT digest, max(page_id) AS rep FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN g.rep IS NOT NULL AND g.rep <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.rep IS NOT NULL AND g.rep <> d.page_id THEN g.rep END AS refers_to
+        FROM d LEFT JOIN g ON d.digest = g.digest AND d.n >= 1000
+    """,
     "op5_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
