@@ -306,5 +306,5 @@ def with_neighbours(prints: DataFrame, radius: int, bits: int = BITS) -> DataFra
 def report(docs: DataFrame, radius: int = 4, bits: int = BITS) -> DataFrame:
     """edited_likeness with has_near: whether another fingerprint of the table lies within the radius."""
     rows = materialise(edited_likeness(docs, bits=bits), "fingerprints")
-    near = with_neighbours(rows, radius, bits).withColumn("has_near", F.lit(True))
+    near = materialise(with_neighbours(rows, radius, bits), "neighbours").withColumn("has_near", F.lit(True))
     return rows.join(near, "fingerprint", "left").withColumn("has_near", F.coalesce("has_near", F.lit(False)))
