@@ -160,8 +160,8 @@ class _Source:
             text, used = b"", 0
             while b"\r\n\r\n" not in text and not unpack.eof:
                 text += unpack.decompress(data, 1 << 14)
-                used += len(data) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
-                data = unpack.unconsumed_tail or (b"" if unpack.eof else stream.read(1 << 14))
+                used += len(data) - len(unpack.unused_data if unpack.eof else unpack.unconsumed_tail)
+                data = b"" if unpack.eof else unpack.unconsumed_tail or stream.read(1 << 14)
                 if not data and not unpack.eof:
                     raise ValueError("a record ends early")
             end = text.find(b"\r\n\r\n")
@@ -175,10 +175,10 @@ class _Source:
             parts = [text[end + 4 :]]
             while not unpack.eof:
                 piece = unpack.decompress(data, 1 << 20)
-                used += len(data) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
+                used += len(data) - len(unpack.unused_data if unpack.eof else unpack.unconsumed_tail)
                 if wanted:
                     parts.append(piece)
-                data = unpack.unconsumed_tail or (b"" if unpack.eof else stream.read(1 << 16))
+                data = b"" if unpack.eof else unpack.unconsumed_tail or stream.read(1 << 16)
                 if not data and not unpack.eof:
                     raise ValueError("a record ends early")
             at += used
