@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import exact_dedup, fingerprint, packing, pii, quality, secret_scan, simhash_neardup, warc
+from rillstone.llm import exact_dedup, fingerprint, html_extract, packing, pii, quality, secret_scan, sentence_pieces, simhash_neardup, warc
 from rillstone.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extracted(pages, html_extract.train(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -49,8 +55,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.decoded(sentence_pieces.encoded(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_crc32", "decoded_sha256", "ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_html_extract": op2_html_extract,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
@@ -58,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
