@@ -6,8 +6,11 @@ cut depends on the one before, run per document and section in grouped pandas fu
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -134,9 +137,9 @@ Distance = Callable[[str, str], float]
 
 def lexical_distance(a: str, b: str) -> float:
     """One less the cosine of word counts: the offline stand-in for a sentence encoder."""
-    x, y = (pd.Series(re.findall(r"\w+", t.lower()), dtype=object).value_counts() for t in (a, b))
-    norm = float((x**2).sum() * (y**2).sum()) ** 0.5
-    return 1.0 - (float(x.mul(y, fill_value=0).sum()) / norm if norm else 0.0)
+    x, y = (Counter(re.findall(r"\w+", t.lower())) for t in (a, b))
+    norm = math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+    return 1.0 - (sum(n * y[w] for w, n in x.items()) / norm if norm else 0.0)
 
 
 def sized_units(rows: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
@@ -151,20 +154,25 @@ def sized_units(rows: list[tuple[str, str]], most: int) -> list[tuple[str, str]]
     return out
 
 
-def cut_at(texts: list[str], distances: list[float | None], start: int, end: int, least: int) -> int:
-    """The farthest boundary with both sides long enough; else the last with a long enough left side; else just before the end."""
-    long_enough = lambda a, b: token_count("\n\n".join(texts[a:b])) >= least
-    good = [(-d, k) for k in range(start + 1, end) if (d := distances[k - 1]) is not None and long_enough(start, k) and long_enough(k, end)]
+def cut_at(sizes: list[int], distances: list[float | None], start: int, end: int, least: int) -> int:
+    """The farthest boundary with both sides long enough; else the last with a long enough left side; else just before the end.
+
+    sizes: running totals of the units' tokens; units are joined by two line breaks, a token each.
+    """
+    tokens = lambda a, b: sizes[b] - sizes[a] + 2 * (b - a - 1)
+    good = [(-d, k) for k in range(start + 1, end) if (d := distances[k - 1]) is not None and tokens(start, k) >= least and tokens(k, end) >= least]
     if good:
         return min(good)[1]
-    return next((k for k in range(end - 1, start, -1) if long_enough(start, k)), max(start + 1, end - 1))
+    return next((k for k in range(end - 1, start, -1) if tokens(start, k) >= least), max(start + 1, end - 1))
 
 
 def fold(name: str, rows: list[tuple[str, str]], most: int = MAX_TOKENS, least: int = MIN_TOKENS, distance: Distance = lexical_distance) -> list[tuple]:
     """Chunks of one section: grow while the limit allows, then cut at the best boundary."""
     head = f"Section: {name}\n\n"
-    found = sized_units(rows, max(1, most - token_count(head)))
+    head_tokens = token_count(head)
+    found = sized_units(rows, max(1, most - head_tokens))
     texts = [t for _, t in found]
+    sizes = [0, *accumulate(map(token_count, texts))]
     gaps = [None if "table" in (found[k][0], found[k + 1][0]) else distance(texts[k], texts[k + 1]) for k in range(len(found) - 1)]
     chunks, start, end = [], 0, 1
 
@@ -173,10 +181,10 @@ def fold(name: str, rows: list[tuple[str, str]], most: int = MAX_TOKENS, least:
         chunks.append((len(chunks), name, token_count(text), sorted({k for k, _ in found[a:b]}), gap, text))
 
     while end <= len(found):
-        if token_count((head + "\n\n".join(texts[start:end]).strip()).strip()) <= most:
+        if head_tokens + sizes[end] - sizes[start] + 2 * (end - start - 1) <= most:
             end += 1
             continue
-        cut = cut_at(texts, gaps, start, end - 1, least)
+        cut = cut_at(sizes, gaps, start, end - 1, least)
         emit(start, cut, gaps[cut - 1] if cut - 1 < len(gaps) else None)
         start, end = cut, cut + 1
     if start < len(found):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
+from rillstone.sources.shared import materialise
 
 CJK_RUN = r"[\x{4e00}-\x{9fff}]+"
 LATIN_RUN = r"[a-z]{2,}"
@@ -79,9 +80,9 @@ def score(frequency: Column, pmi: Column, boundary: Column, documents: Column, b
 
 def mined_terms(docs: DataFrame, pattern: str = LATIN_RUN, stop: tuple[str, ...] = ("http", "https", "www", "com"), bad_ends: str = "") -> DataFrame:
     """(term, frequency, minimum_pmi, boundary_entropy, document_count, score) of the valid terms."""
-    counted = runs(docs, pattern)
+    counted = materialise(runs(docs, pattern), "runs")
     cut = grams(counted)
-    every = counts(cut)
+    every = materialise(counts(cut), "gram-counts")
     frequent = every.where((F.col("frequency") >= 4) & (F.length("term") >= 2))
     stats = frequent.join(boundary_entropy(cut), "term").join(minimum_pmi(frequent, every), "term")
     good = stats.where(valid(F.col("term"), F.col("frequency"), F.col("minimum_pmi"), F.col("boundary_entropy"), list(stop), bad_ends))
@@ -93,18 +94,29 @@ def mined_terms(docs: DataFrame, pattern: str = LATIN_RUN, stop: tuple[str, ...]
     return out.withColumn("score", score(F.col("frequency"), F.col("minimum_pmi"), F.col("boundary_entropy"), F.col("document_count")))
 
 
+def _part_at(size: int):  # noqa: ANN202
+    return lambda k: F.substr(F.col("term"), k, F.lit(size))
+
+
 def without_fragments(terms: DataFrame, gap: int = 2, share: float = 0.85, longest: int = 12) -> DataFrame:
     """Drop a term that a retained term, at most gap longer and at least share as frequent, contains; longest first.
 
     Terms of one length never decide on each other, so there is one anti join per length; it is keyed by
     the retained terms' substrings of that length.
     """
-    kept = terms.where(F.length("term") >= longest)
+    terms = materialise(terms, "terms")
+    levels = {longest: terms.where(F.length("term") >= longest)}
     for size in range(longest - 1, 0, -1):
         own = terms.where(F.length("term") == size)
-        longer = kept.where(F.length("term").between(size + 1, size + gap)).select(F.col("frequency").alias("_f"), F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda k: F.substr(F.col("term"), k, F.lit(size)))).alias("_part"))
+        longer = None
+        for n in range(size + 1, min(size + gap, longest) + 1):
+            longer = levels[n] if longer is None else longer.unionByName(levels[n])
+        longer = longer.where(F.length("term") <= size + gap).select(F.col("frequency").alias("_f"), F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), _part_at(size))).alias("_part"))
         best = longer.groupBy("_part").agg(F.max("_f").alias("_f"))
-        kept = kept.unionByName(own.join(best, (own["term"] == best["_part"]) & (best["_f"] >= own["frequency"] * share), "left_anti"))
+        levels[size] = materialise(own.join(best, (own["term"] == best["_part"]) & (best["_f"] >= own["frequency"] * share), "left_anti"), "terms-kept")
+    kept = levels[longest]
+    for size in range(longest - 1, 0, -1):
+        kept = kept.unionByName(levels[size])
     return kept
 
 

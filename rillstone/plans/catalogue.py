@@ -412,8 +412,8 @@ def ascii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- lexicon -----------------------------------------------------------------------------------
 
 GRAMS_SQL = r"""r AS (SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), 'https?://\S+', ' ', 'g')), '[a-z]{2,}')) AS run FROM documents) GROUP BY 1),
-    p AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS at FROM r), g0 AS (SELECT run, n, at, unnest(range(1, least(8, length(run) - at + 1) + 1)) AS len FROM p),
-    g AS (SELECT substr(run, at, len) AS term, n, CASE WHEN at = 1 THEN '^' ELSE substr(run, at - 1, 1) END AS before, CASE WHEN at + len > length(run) THEN '$' ELSE substr(run, at + len, 1) END AS after FROM g0),
+    p AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS pos FROM r), g0 AS (SELECT run, n, pos, unnest(range(1, least(8, length(run) - pos + 1) + 1)) AS len FROM p),
+    g AS (SELECT substr(run, pos, len) AS term, n, CASE WHEN pos = 1 THEN '^' ELSE substr(run, pos - 1, 1) END AS before, CASE WHEN pos + len > length(run) THEN '$' ELSE substr(run, pos + len, 1) END AS after FROM g0),
     cnt AS (SELECT term, sum(n)::BIGINT AS frequency FROM g GROUP BY 1)"""
 STATS_SQL = f"""{GRAMS_SQL},
     eb AS (SELECT term, log2(sum(m)) - sum(m * log2(m)) / sum(m) AS h FROM (SELECT term, before, sum(n)::DOUBLE AS m FROM g WHERE length(term) >= 2 GROUP BY 1, 2) GROUP BY 1),
@@ -446,7 +446,7 @@ def pmi_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEXICON_SQL = f"""{STATS_SQL}, ok AS (SELECT term, frequency, minimum_pmi, boundary_entropy FROM fr JOIN be USING (term) JOIN pm USING (term)
       WHERE term NOT IN ('http', 'https', 'www', 'com') AND length(replace(term, substr(term, 1, 1), '')) > 0 AND CASE WHEN length(term) = 2 THEN frequency >= 8 AND minimum_pmi >= 2.5 AND boundary_entropy >= 0.35 ELSE minimum_pmi >= 3.0 AND boundary_entropy >= 0.15 END),
     dr AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), 'https?://\\S+', ' ', 'g')), '[a-z]{{2,}}')) AS run FROM documents),
-    rt AS (SELECT DISTINCT g0.run, ok.term FROM g0 JOIN ok ON ok.term = substr(g0.run, g0.at, g0.len)), dc AS (SELECT term, count(DISTINCT doc_id) AS document_count FROM rt JOIN dr USING (run) GROUP BY 1),
+    rt AS (SELECT DISTINCT g0.run, ok.term FROM g0 JOIN ok ON ok.term = substr(g0.run, g0.pos, g0.len)), dc AS (SELECT term, count(DISTINCT doc_id) AS document_count FROM rt JOIN dr USING (run) GROUP BY 1),
     lex AS (SELECT ok.*, document_count, log2(frequency + 1.0::DOUBLE) * 5 + greatest(minimum_pmi, 0.0) * 1.5 + boundary_entropy * 2 + least(document_count, 5) * 1.5 AS score FROM ok JOIN dc USING (term))"""
 
 
