@@ -257,9 +257,8 @@ def search(queries: DataFrame, prints: DataFrame, radius: int, bits: int = BITS)
     right = prints.select("fingerprint").distinct()
     keyed = left.select("query", F.inline(block_tables(F.col("query"), radius, bits)))
     found = keyed.join(right.select("fingerprint", F.inline(block_tables(F.col("fingerprint"), radius, bits))), ["table", "key"])
-    words = [(F.conv(F.substring("query", a, 16), 16, 10), F.conv(F.substring("fingerprint", a, 16), 16, 10)) for a in range(1, bits // 4 + 1, 16)]
-    signed = lambda x: F.when(x.cast("decimal(20,0)") >= 2**63, (x.cast("decimal(20,0)") - 2**64)).otherwise(x.cast("decimal(20,0)")).cast("long")
-    distance = sum((F.bit_count(signed(a).bitwiseXOR(signed(b))) for a, b in words), F.lit(0))
+    word = lambda name, at: F.conv(F.substring(name, at, 16), 16, -10).cast("long")
+    distance = sum((F.bit_count(word("query", a).bitwiseXOR(word("fingerprint", a))) for a in range(1, bits // 4 + 1, 16)), F.lit(0))
     return found.select("query", "fingerprint", distance.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
