@@ -128,7 +128,7 @@ def trimmed(text: Column, limit: int = 2600, mark: str = "\n...") -> Column:
 
 
 def safe_name(text: Column) -> Column:
-    name = F.trim(F.lit("_"), F.regexp_replace(stripped(text), r"(?U)[^\w\x{4e00}-\x{9fff}-]+", "_"))
+    name = F.trim(F.regexp_replace(stripped(text), r"(?U)[^\w\x{4e00}-\x{9fff}-]+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("untitled"))
 
 
@@ -152,7 +152,7 @@ def json_object(text: Column) -> Column:
 
 
 def without_ticks(text: Column) -> Column:
-    return F.trim(F.lit("`"), stripped(text))
+    return F.trim(stripped(text), F.lit("`"))
 
 
 def page_set(expression: Column, total: Column) -> Column:
