@@ -400,9 +400,7 @@ def normalised_question_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(firsts, "hash").where("doc_id <> first").select("doc_id", "first")
 
 
-@query(r"""WITH t AS (SELECT doc_id, upper(unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), 'https?://\S+', ' ', 'g'), '[A-Za-z][A-Za-z0-9]*'))) AS run FROM documents),
-    s AS (SELECT doc_id, run, unnest(CASE WHEN length(run) <= 12 THEN [run] ELSE list_filter(regexp_extract_all(run, '.{1,12}'), lambda x, i: i = 1 OR FALSE) END) AS term FROM t)
-    SELECT term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM s WHERE length(term) >= 2 GROUP BY 1""")
+@query()
 def ascii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.ascii_terms(F.coalesce("text", F.lit("")))).alias("term"))
     each = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))

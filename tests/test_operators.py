@@ -55,6 +55,8 @@ def test_small_text_functions(spark):
     assert one(spark, T.nfc, " é ") == "é"
     assert one(spark, T.front_matter, "---\nname: x\ndescription: a: b\n---\nbody") == {"name": "x", "description": "a: b"}
     assert one(spark, T.amount, "1.5万") == 15000.0
+    odd = "ab 1cd a bbad1ecab5a43ebe9f8f ABCDEFGHIJKLMNOP x2"
+    assert one(spark, T.ascii_terms, odd) == [t.upper() for t in re.findall(r"(?<![A-Za-z])[A-Za-z][A-Za-z0-9]{1,11}", odd)]
 
 
 def test_index_page_records(spark):
@@ -209,7 +211,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_catalogue_has_an_oracle_for_all_but_the_folds():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"section_blocks", "semantic_chunks", "structure_chunks"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"ascii_terms", "section_blocks", "semantic_chunks", "structure_chunks"}
 
 
 def test_entry_works_without_the_optional_package(tmp_path):
