@@ -32,7 +32,7 @@ from rillstone.llm.common import bounded_batches
 
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -45,6 +45,9 @@ class Pieces:
         self.scores = [s for _, s in pieces]
         self.ids, self.byte_ids, self.unknown, self.unigram = ids, byte_ids, unknown, unigram
         self.bytes = {i: b for b, i in byte_ids.items()}
+        # Pieces as text; bytes beyond ASCII are no whole characters.
+        self.high = frozenset(i for i, b in self.bytes.items() if b > 127)
+        self.whole = [" ⁇ " if i == unknown else chr(self.bytes[i]) if i in self.bytes else p for i, p in enumerate(self.text)]
         self.longest = max(map(len, ids), default=1)
         self.least = min(self.scores, default=0.0) - 10.0
         if any(MARK in p.lstrip(MARK) for p in ids):
@@ -52,15 +55,17 @@ class Pieces:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        # Merge order, and the lengths of the pieces that end in two characters, longest first.
+        # Merge order, and the lengths of the pieces that end in three characters (or are two), longest first.
         self.order = [0.0] * len(pieces)
         for n, i in enumerate(sorted(range(len(pieces)), key=lambda i: -self.scores[i])):
             self.order[i] = float(n)
         ends: dict[str, set[int]] = {}
         for p in ids:
             if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
+                ends.setdefault(p[-3:], set()).add(len(p))
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        # Pieces that merging makes from their own characters; no other can follow anything.
+        self.made = set() if unigram else {i for p, i in ids.items() if len(p) > 1 and self._halves(i)}
 
     @classmethod
     def from_model(cls, path: str, unigram: bool = False) -> Pieces:
@@ -119,70 +124,83 @@ class Pieces:
         self.pairs[key] = found
         return found
 
-    def _state(self, word: str, end: int, last: list[int], best: list[float]) -> tuple[int, float]:
-        """Length of the last piece of the prefix up to end, and its forward score."""
-        if self.unigram:
-            found = (1, best[end - 1] + self.least)
-            for size in range(1, min(end, self.longest) + 1):
-                piece = self.ids.get(word[end - size : end])
-                if piece is not None and best[end - size] + self.scores[piece] > found[1]:
-                    found = (size, best[end - size] + self.scores[piece])
-            return found
-        for size in self.sizes.get(word[max(0, end - 2) : end], ()):
-            start = end - size
-            piece = self.ids.get(word[start:end]) if start >= 0 else None
-            if piece is None:
-                continue
-            if start == 0:
-                if self._halves(piece):
-                    return size, 0.0
-            else:
-                before = self.ids.get(word[start - last[start] : start])
-                if self._halves(piece) and (before is None or self.follows(before, piece)):
-                    return size, 0.0
-        return 1, 0.0
+    def _best_sum(self, word: str, end: int, best: list[float]) -> tuple[int, float]:
+        """Viterbi step of a unigram vocabulary: length of the last piece of the prefix up to end, and its forward score."""
+        found = (1, best[end - 1] + self.least)
+        for size in range(1, min(end, self.longest) + 1):
+            piece = self.ids.get(word[end - size : end])
+            if piece is not None and best[end - size] + self.scores[piece] > found[1]:
+                found = (size, best[end - size] + self.scores[piece])
+        return found
 
     def learn(self, words: list[str]) -> None:
-        """Encode distinct words in sorted order and remember them; forward states of shared prefixes are computed once."""
-        last, best, before = [0], [0.0], ""
+        """Encode distinct words in sorted order and remember them; forward states of shared prefixes are computed once.
+
+        The state of a place is the last piece of the prefix up to it: its length and id, for a unigram
+        vocabulary its forward score too.
+        """
+        size_at, id_at, best, before = [0], [None], [0.0], ""
+        ids_get, sizes_get, pairs_get, made, follows, count = self.ids.get, self.sizes.get, self.pairs.get, self.made, self.follows, len(self.text)
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
+            del size_at[shared + 1 :], id_at[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                size, score = self._state(word, end, last, best)
-                last.append(size)
-                best.append(score)
+                if self.unigram:
+                    size, score = self._best_sum(word, end, best)
+                    best.append(score)
+                    piece = ids_get(word[end - size : end])
+                else:
+                    longer = sizes_get(word[end - 3 : end], ()) if end > 2 else ()
+                    for size in (*longer, 2) if end > 1 else ():
+                        start = end - size
+                        if start < 0 or (piece := ids_get(word[start:end])) not in made:
+                            continue
+                        if not start or (left := id_at[start]) is None:
+                            break
+                        fits = pairs_get(left * count + piece)
+                        if follows(left, piece) if fits is None else fits:
+                            break
+                    else:
+                        size, piece = 1, ids_get(word[end - 1])
+                size_at.append(size)
+                id_at.append(piece)
             before, end, ids = word, len(word), []
             while end:
-                piece = word[end - last[end] : end]
-                known = self.ids.get(piece)
-                if known is not None:
-                    ids.append(known)
+                piece = id_at[end]
+                if piece is not None:
+                    ids.append(piece)
                 elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(piece.encode())]
+                    ids += [self.byte_ids[b] for b in reversed(word[end - size_at[end] : end].encode())]
                 else:
                     ids.append(self.unknown)
-                end -= last[end]
-            self.words[word] = array("I", reversed(ids)).tobytes()
+                end -= size_at[end]
+            ids.reverse()
+            self.words[word[1:]] = array("I", ids).tobytes()
 
     # -- texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native unsigned 32-bit integers."""
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for words in cut for w in words} - self.words.keys()
+        plain = lambda t: "  " not in t and MARK not in t and t[0] != " " != t[-1]
+        # Every word starts with a mark, and is remembered without it.
+        cut = [(t.split(" ") if plain(t) else [w[1:] for w in _WORD.findall(MARK + t.replace(" ", MARK))]) if t else [] for t in texts]
+        every = set().union(*cut)
+        fresh = every - self.words.keys()
         if len(self.words) + len(fresh) > CACHE_WORDS:
             self.words.clear()
-            fresh = {w for words in cut for w in words}
-        self.learn(list(fresh))
+            fresh = every
+        self.learn([MARK + w for w in fresh])
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids: bytes joined into characters, marks back to spaces, the one in front dropped."""
+        if self.high.isdisjoint(ids):  # every piece is whole characters
+            text = "".join(map(self.whole.__getitem__, ids))
+            return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
         parts: list[str] = []
         run = bytearray()
         for i in ids:
