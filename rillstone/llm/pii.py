@@ -50,7 +50,7 @@ _PATTERN = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "person": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?+",
 }
-# A cheap test without which a text cannot match.
+# A cheap test without which a text cannot match; for an address in lower case, as its pattern takes either.
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "address": "at"}
 # Fixed word lists of the gazetteer and context labelers.
 _DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|us|ca|br|mx|co|me|biz|dev|app"
@@ -129,7 +129,7 @@ def _gazetteer(kind: str, value: Column) -> Column:
 def _candidates(kind: str, text: Column) -> tuple[Column, Column]:
     """Matches and the pieces between them; both null where the text has none."""
     pattern = _PATTERN[kind]
-    able = text.contains(_NEEDS[kind]) if kind in _NEEDS else F.lit(True)
+    able = (F.lower(text) if kind == "address" else text).contains(_NEEDS[kind]) if kind in _NEEDS else F.lit(True)
     found = F.when(able, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.when(F.size(found) > 0, found), F.split(text, pattern, -1)
 
