@@ -49,22 +49,47 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((
 DEFAULTS = {"word": 1.0, "dropped word": -1.0, "tag": -0.3, "dropped tag": -1.0, "landmark": -8.0, "inner landmark": -0.5, "inner dropped": -0.02}
 
 
-def _named_away(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
-        if _NAMES.search(m[1] or m[2] or m[3] or ""):
-            return True
-    return bool(_HIDDEN.search(attributes))
+def _named(attributes: str) -> bool:
+    return any(_NAMES.search(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(attributes))
+
+
+def _overruled(found: list[tuple[str, str, bool, int, bool]], held: dict[int, list]) -> set[int]:
+    """Of the elements that their names drop, by place [tag, words, place of such an element around it], those that hold most of the page's words.
+
+    A large comment section must not win over a short article: an article needs more words
+    than the landmarks keep without it, any other element ten times as many.
+    """
+    words = [(len(text.split()), dropped, inside) for kind, text, dropped, _, inside in found if kind == "word"]
+    kept = sum(n for n, dropped, inside in words if inside and not dropped)
+    for _, n, around in reversed(held.values()):
+        if around is not None:
+            held[around][1] += n
+    return {at for at, (name, n, _) in held.items() if 2 * n > sum(w[0] for w in words) and n > kept * (1 if name == "article" else 10)}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
     """(class, text, dropped, block, in a landmark) of every tag and piece of text, in page order; a tag's text is empty."""
-    stack: list[tuple[str, bool]] = []
+    spared: set[int] = set()
+    while True:
+        held: dict[int, list] = {}
+        found = list(_scan(page, spared, held))
+        more = _overruled(found, held)
+        if not more:
+            return iter(found)
+        spared |= more
+
+
+def _scan(page: str, spared: set[int], held: dict[int, list]) -> Iterator[tuple[str, str, bool, int, bool]]:
+    """The tokens where the elements at the spared places are not judged by name; held gets the words of those that are dropped for it."""
+    stack: list[tuple[str, bool, int | None]] = []
     at, block, marked = 0, 0, 0
     end = len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         start = m.start() if m else end
         if start > at:
+            if stack and stack[-1][1] and stack[-1][2] is not None:
+                held[stack[-1][2]][1] += len(page[at:start].split())
             yield "word", page[at:start], bool(stack) and stack[-1][1], block, marked > 0
         if not m:
             return
@@ -83,21 +108,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int, bool]]:
             inside = bool(stack) and stack[-1][1]
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if depth >= 0:
-                marked -= sum(x in _LANDMARKS for x, _ in stack[depth:])
+                marked -= sum(x in _LANDMARKS for x, *_ in stack[depth:])
                 del stack[depth:]
             yield name, "", inside, block, marked > 0
             continue
-        if name in _LANDMARKS and not _named_away(attributes):
-            stack = [(x, False) if x not in _LANDMARKS and not marked else (x, d) for x, d in stack]
+        hidden, named = bool(_HIDDEN.search(attributes)), m.start() not in spared and _named(attributes)
+        if name in _LANDMARKS and not (hidden or named):
+            stack = [(x, False, None) if x not in _LANDMARKS and not marked else (x, d, o) for x, d, o in stack]
         if name == "p" or name == "li":
             while stack and stack[-1][0] in (("p",) if name == "p" else ("p", "li")):
                 stack.pop()
         inside = bool(stack) and stack[-1][1]
-        away = inside or name in _DROPPED or name == "header" and not marked or name not in ("html", "body", "main") and bool(attributes) and _named_away(attributes)
+        place = stack[-1][2] if inside else None
+        away = inside
+        if name in _DROPPED or name == "header" and not marked or name not in ("html", "body", "main") and hidden:
+            away, place = True, None
+        elif named and name not in ("html", "body", "main") and (not inside or place is not None):
+            held[m.start()] = [name, 0, place]
+            away, place = True, m.start()
         yield name, "", away, block, marked > 0
         if name not in _VOID and not attributes.endswith("/"):
             if name in _BLOCKS or name in _DROPPED or away:
-                stack.append((name, away))
+                stack.append((name, away, place))
                 marked += name in _LANDMARKS
 
 
