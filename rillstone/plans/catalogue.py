@@ -586,6 +586,12 @@ def last_days_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlguard.run(spark, sql, {t: read(spark, sf_dir, t) for t in _STAR})
 
 
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - INTERVAL 30 DAY GROUP BY 1")
+def last30_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE CAST(ts AS DATE) >= date_sub((SELECT max(CAST(ts AS DATE)) FROM events), 30) GROUP BY event_type"
+    return sqlguard.run(spark, sql, {t: read(spark, sf_dir, t) for t in _STAR})
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_events.windowed(read(spark, sf_dir, "events"))

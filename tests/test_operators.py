@@ -218,3 +218,9 @@ def test_entry_works_without_the_optional_package(tmp_path):
     code = "import sys\nsys.modules['rillstone.llm'] = None\nimport __spark_entry__ as e\nassert 'bm25_topk' in e.queries() and not any(n.startswith('op1') for n in e.queries())"
     root = importlib.import_module("pathlib").Path(__file__).parents[1]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=100)
+
+
+def test_last30_activity_looks_back_30_days(spark, monkeypatch):
+    rows = spark.sql("SELECT explode(array(0, 10, 30, 31)) AS back").selectExpr("timestamp'2024-03-31 12:00:00' - make_dt_interval(back) AS ts", "'click' AS event_type", "1.5D AS value")
+    monkeypatch.setattr(catalogue, "read", lambda s, folder, name: rows)
+    assert [tuple(r) for r in catalogue.QUERIES["last30_activity"](spark, "").collect()] == [("click", 3, 4.5)]
