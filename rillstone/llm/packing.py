@@ -135,8 +135,8 @@ def _fill_cost(size: int) -> np.ndarray:
     return np.where((fills & (fills - 1)) == 0, fills, size).astype(float)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack over exact fills: the pattern of least cost minus value, as {index of length: copies}."""
+def _best_values(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over exact fills: the best value of each fill, and the last length that it takes."""
     best, last = np.full(size + 1, -np.inf), np.full(size + 1, -1)
     best[0] = 0.0
     usable = np.searchsorted(lengths, np.arange(size + 1), side="right")
@@ -146,15 +146,44 @@ def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, di
         k = int(np.argmax(got))
         if got[k] > -np.inf:
             best[fill], last[fill] = got[k], k
-    reduced = _fill_cost(size) - best
-    reduced[0] = np.inf
-    fill = int(np.argmin(reduced))
-    cost, pattern = float(reduced[fill]), {}
+    return best, last
+
+
+def _pattern(last: np.ndarray, lengths: np.ndarray, fill: int, first: int | None = None) -> dict[int, int]:
+    """The pattern of a fill, as {index of length: copies}; first is a length that it holds besides."""
+    pattern = {} if first is None else {first: 1}
     while fill > 0:
         k = int(last[fill])
         pattern[k] = pattern.get(k, 0) + 1
         fill -= int(lengths[k])
-    return cost, pattern
+    return pattern
+
+
+def price(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
+    """The pattern of least cost minus value, with that difference."""
+    best, last = _best_values(values, lengths, size)
+    reduced = _fill_cost(size) - best
+    reduced[0] = np.inf
+    fill = int(np.argmin(reduced))
+    return float(reduced[fill]), _pattern(last, lengths, fill)
+
+
+def priced(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Farley's ratio of the values, and patterns (rows of copies): the best one, and the best full one that holds each length.
+
+    Values divided by the ratio, the largest value of a pattern over its cost, are feasible
+    duals, so they bound the linear program from below.
+    """
+    best, last = _best_values(values, lengths, size)
+    cost = _fill_cost(size)
+    found = [_pattern(last, lengths, 1 + int(np.argmin((cost - best)[1:])))]
+    for k, length in enumerate(lengths.tolist()):
+        if best[size - length] > -np.inf:
+            found.append(_pattern(last, lengths, size - length, k))
+    rows = np.zeros((len(found), len(lengths)))
+    for n, pattern in enumerate(found):
+        rows[n, list(pattern)] = list(pattern.values())
+    return float((best[1:] / cost[1:]).max()), rows
 
 
 def _fullest(left: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
@@ -185,14 +214,14 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[
     return found
 
 
-def _first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[dict[int, int]], np.ndarray]:
-    """A column for each length, and the columns' inverse.
+def _first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[dict[int, int]]:
+    """A column for each length.
 
     Best-fit patterns, each repeated until it uses up a length, which the column then
     stands for; lengths used up by the way get a pattern of their own. In the order in
     which lengths are used up the columns are triangular, so they are a feasible basis.
     """
-    left, order = demand.copy(), []
+    left = demand.copy()
     columns: list[dict[int, int]] = [{k: size // int(x)} for k, x in enumerate(lengths)]
     while (left > 0).any():
         pattern = _fullest(left, lengths, size)
@@ -200,73 +229,119 @@ def _first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[li
         times = left[spent] / pattern[spent]
         columns[spent] = pattern
         left[spent] = 0.0
-        order.append(spent)
         for k, n in pattern.items():
             if k != spent:
                 left[k] -= n * times
-                if left[k] < 1e-9:
-                    left[k] = 0.0
-                    order.append(k)
-    rows: list[list[tuple[int, int]]] = [[] for _ in columns]
-    for j, c in enumerate(columns):
-        for i, n in c.items():
-            if i != j:
-                rows[i].append((j, n))
-    inverse = np.zeros((len(columns), len(columns)))
-    for i in order:
-        row = np.zeros(len(columns))
-        row[i] = 1.0
-        for j, n in rows[i]:
-            row -= n * inverse[j]
-        inverse[i] = row / columns[i][i]
-    return columns, inverse
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 2e-3, rounds: int = 200) -> list[tuple[dict[int, int], int]]:
+                left[k] = left[k] if left[k] > 1e-9 else 0.0
+    return columns
+
+
+class LinearProgram:
+    """The cutting-stock program's restricted master: a basis with its inverse, improved by priced patterns.
+
+    It starts from best-fit patterns. Demands are raised by a thousandth of a piece at most,
+    drawn with a fixed seed, so that no step of the simplex method is degenerate.
+    """
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, size: int = SIZE) -> None:
+        self.lengths, self.size, self.cost_of = lengths, size, _fill_cost(size)
+        self.demand = counts + 1e-3 * np.random.default_rng(0).random(len(counts))
+        columns = _first_basis(lengths, self.demand, size)
+        self.basis = np.zeros((len(columns), len(columns)))  # a row for each pattern
+        for n, pattern in enumerate(columns):
+            self.basis[n, list(pattern)] = list(pattern.values())
+        self.bound, self.rounds, self.pivots = 0.0, 0, 0
+        self._bounded_by(lengths.astype(float))  # a length's own tokens are its value: a first bound
+        self._factor()
+
+    def _factor(self) -> None:
+        self.costs = self.cost_of[(self.basis @ self.lengths).astype(int)]
+        self.inverse = np.linalg.inv(self.basis.T)
+        self.amounts = np.maximum(self.inverse @ self.demand, 0.0)
+        self.duals = self.costs @ self.inverse
+
+    @property
+    def cost(self) -> float:
+        return float(self.costs @ self.amounts)
+
+    def _enter(self, pattern: np.ndarray, cost: float, reduced: float) -> None:
+        step = self.inverse @ pattern
+        able = step > 1e-7
+        out = int(np.argmin(np.where(able, self.amounts / np.where(able, step, 1.0), np.inf)))
+        times = self.amounts[out] / step[out]
+        pivot = self.inverse[out] / step[out]
+        rows, columns = np.flatnonzero(step), np.flatnonzero(pivot)
+        self.duals += reduced * pivot
+        self.inverse[np.ix_(rows, columns)] -= np.outer(step[rows], pivot[columns])
+        self.inverse[out] = pivot
+        self.amounts = np.maximum(self.amounts - times * step, 0.0)
+        self.amounts[out], self.basis[out], self.costs[out] = times, pattern, cost
+        self.pivots += 1
+        if self.pivots % 200 == 0:
+            self._factor()
+
+    def _bounded_by(self, values: np.ndarray) -> np.ndarray:
+        """Patterns priced by the values, which also bound the optimum from below."""
+        ratio, found = priced(values, self.lengths, self.size)
+        self.bound = max(self.bound, float(values @ self.demand) / max(ratio, 1e-12))
+        return found
+
+    def improve(self) -> bool:
+        """Price patterns by the duals and let in what lowers the cost; false where no pattern does."""
+        found = self._bounded_by(self.duals)
+        self.rounds += 1
+        costs = self.cost_of[(found @ self.lengths).astype(int)]
+        least = -1e-6  # later a tenth of the first one's reduction: what is worth less waits for fresh prices
+        for _ in range(len(found)):
+            reduced = costs - found @ self.duals
+            k = int(np.argmin(reduced))
+            if reduced[k] > least:
+                break
+            least = min(least, float(reduced[k]) / 10)
+            self._enter(found[k], float(costs[k]), float(reduced[k]))
+        return least < -1e-6
+
+
+def _rounded(patterns: np.ndarray, amounts: np.ndarray, counts: np.ndarray, up: bool) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole repeats of the patterns, with up one more of those with the largest fractions as long as their pieces last; what is left."""
+    left, times = counts.copy(), np.zeros(len(patterns), np.int64)
+    whole = np.floor(amounts + 1e-6).astype(np.int64)
+    for extra in (False, True) if up else (False,):
+        for k in np.argsort(-(amounts - whole if extra else amounts), kind="stable").tolist():
+            held = np.flatnonzero(patterns[k])
+            copies = patterns[k, held].astype(np.int64)
+            n = min(1 if extra else int(whole[k]), int((left[held] // copies).min()))
+            left[held] -= n * copies
+            times[k] += n
+    plan = [({int(i): int(patterns[k, i]) for i in np.flatnonzero(patterns[k])}, int(times[k])) for k in np.flatnonzero(times)]
+    return plan, left
+
+
+def padding(plan: list[tuple[dict[int, int], int]], lengths: np.ndarray, size: int = SIZE) -> float:
+    """Tokens of a plan's sequences that no piece fills."""
+    fills = [(sum(int(lengths[k]) * n for k, n in pattern.items()), times) for pattern, times in plan]
+    return float(sum((_fill_cost(size)[fill] - fill) * times for fill, times in fills))
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 1e-4, sequences: float = 2.0) -> list[tuple[dict[int, int], int]]:
     """Patterns with their repeats that cover the histogram exactly: column generation, then rounding.
 
-    lengths ascend. gap: column generation ends when the cost is proved to be within this
-    fraction of the linear program's optimum. rounds bounds the pivots of the simplex
-    method; both only bear on how little padding is left, every piece is packed either way.
+    lengths ascend. Patterns are priced until none lowers the cost or Farley's bound proves
+    it to be within the fraction gap of the linear program's optimum, or within so many
+    sequences of it, which rounding costs anyway. Best-fit decreasing packs what rounding
+    leaves over. It is also the fallback: the result is never worse than it alone.
     """
-    m = len(lengths)
-    if not m:
+    if not len(lengths):
         return []
-    cost_of, demand = _fill_cost(size), counts.astype(float)
-    columns, inverse = _first_basis(lengths, demand, size)
-    costs = np.array([cost_of[sum(int(lengths[i]) * n for i, n in c.items())] for c in columns])
-    worth = lambda: np.maximum(np.einsum("ij,j->i", inverse, demand), 0.0)
-    amounts = worth()
-    for _ in range(rounds):
-        total = float((costs * amounts).sum())
-        if total <= (demand * lengths).sum() * (1 + gap):
-            break
-        reduced, pattern = price(np.einsum("i,ij->j", costs, inverse), lengths, size)
-        # Farley's bound: scaled to be feasible for every pattern, the values bound the optimum.
-        fill = sum(int(lengths[k]) * n for k, n in pattern.items())
-        if reduced > -1e-9 or -reduced <= gap * (cost_of[fill] - reduced):
-            break
-        step = sum(n * inverse[:, k] for k, n in pattern.items())
-        able = step > 1e-9
-        if not able.any():
+    program = LinearProgram(lengths, counts, size)
+    while program.improve():
+        if program.cost - program.bound <= max(gap * program.bound, sequences * size):
             break
-        ratios = np.full(m, np.inf)
-        ratios[able] = amounts[able] / step[able]
-        out = int(np.argmin(ratios))
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-        amounts = worth()
-        columns[out], costs[out] = pattern, cost_of[fill]
-    left, plan = counts.copy(), []
-    for k in np.argsort(-amounts, kind="stable"):
-        times = int(amounts[k] + 1e-6)
-        times = min([times, *(int(left[i]) // n for i, n in columns[k].items())])
-        if times > 0:
-            plan.append((columns[k], times))
-            for i, n in columns[k].items():
-                left[i] -= n * times
-    return plan + _best_fit(lengths, left, size)
+    plans = []
+    for up in (True, False):
+        plan, left = _rounded(program.basis, program.amounts, counts, up)
+        plans.append(plan + _best_fit(lengths, left, size))
+    return min([*plans, _best_fit(lengths, counts, size)], key=lambda x: padding(x, lengths, size))
 
 
 def slots(plan: list[tuple[dict[int, int], int]], lengths: np.ndarray) -> np.ndarray:
