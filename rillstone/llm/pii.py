@@ -4,13 +4,16 @@ Patterns propose candidate spans. Four labelers vote on each (+1, -1 or 0 to abs
 strict form of its kind, a gazetteer (top-level domains, calling codes, issuer prefixes,
 given names, reserved networks), cue words in the context before it, and the characters
 around it. Expectation-maximisation over the counts of vote patterns estimates each
-labeler's reliability for the two hidden classes; the posteriors it ends with train the
-final classifier, a logistic model over votes and kind, and that decides on the spans.
-Spans of the four base kinds that pass their check are always kept.
+labeler's reliability for the two hidden classes; an abstention is no evidence for either.
+The posteriors it ends with train the final classifier, a logistic model over kind, votes
+and traits of the span itself (its surroundings and shape), which decides on the spans. Its
+weights are held to those of a plain majority and its intercepts bounded, so that a kind
+whose candidates were wrong so far is still found where the evidence is for it. Spans of
+the four base kinds that pass their check are always kept.
 
-Everything that touches texts is a Spark expression. Only the table of vote patterns, at
-most kinds x 3^4 rows whatever the corpus, reaches the driver. The candidates (narrow
-rows) are written to the shared folder, so the texts are scanned once.
+Everything that touches texts is a Spark expression. Only the table of patterns of votes
+and traits, at most kinds x 3^4 x 2^5 rows whatever the corpus, reaches the driver. The
+candidates (narrow rows) are written to the shared folder, so the texts are scanned once.
 
 A match's place comes from splitting the text by the pattern: the lengths of the pieces
 and matches before it add up to its start, in code points. Patterns carry \\G and
@@ -25,7 +28,10 @@ and pass through ``masked`` untouched.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
+from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +58,15 @@ _PATTERN = {
 }
 # A cheap test without which a text cannot match; for an address in lower case, as its pattern takes either.
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-", "address": "at"}
-# Fixed word lists of the gazetteer and context labelers.
-_DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|us|ca|br|mx|co|me|biz|dev|app"
-_CALLING = "1|7|20|27|3[0-469]|4[0-14-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-_ISSUERS = "4|5[1-5]|2[2-7]|3[47]|3[068]|6011|65|62|35"
-_NAMES = "John|Mary|James|Anna|Peter|Maria|Hans|Julia|Jean|Marie|Pierre|Carlos|Ana|Juan|Luis|Laura|Thomas|Michael|Sarah|David"
+# Fixed word lists of the gazetteer and context labelers. Any two letters may be a country's domain.
+_DOMAINS = "[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|travel|jobs|museum|aero|coop|app|dev|page|cloud|online|site|store|shop|tech|blog|xyz|club|live|news|email|agency|digital|studio|design|world|group|company|solutions|services|academy|example|test|invalid|local"
+_CALLING = "1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[05][0-9]|88[0-9]|9[0-58]|9[679][0-9]"
+_ISSUERS = "4|5[0-8]|2[2-7]|3[47]|3[0689]|6011|6[2-9]|35|1[2-9]"
+_NAMES = (
+    "Aaron|Adam|Adrian|Alan|Albert|Alejandro|Alexander|Alice|Amanda|Amy|Ana|Andrea|Andreas|Andrew|Angela|Anna|Anne|Anthony|Antonio|Barbara|Benjamin|Bernd|Brian|Camille|Carlos|Carmen|Caroline|Charles|Charlotte|Christian|Christine|Christopher|Claire|Claude|Claudia|Daniel|David|Diego|Donald|Dorothy"
+    "|Edward|Elena|Elizabeth|Emily|Emma|Eric|Eva|Fernando|Francisco|Frank|Franz|Gabriel|George|Hans|Heinz|Helen|Helga|Henri|Henry|Isabel|Jack|Jacques|James|Jan|Javier|Jean|Jennifer|Jessica|Joan|Johann|John|Jorge|Joseph|Juan|Julia|Julie|Karen|Karl|Katharina|Kevin|Klaus|Laura|Lena|Linda|Lisa|Louis|Lucas|Luis"
+    "|Manuel|Marc|Marco|Margaret|Maria|Marie|Mark|Martin|Mary|Matthew|Maximilian|Michael|Michel|Miguel|Monika|Nancy|Nathalie|Nicholas|Nicolas|Olivier|Pablo|Patricia|Patrick|Paul|Pedro|Peter|Philippe|Pierre|Rafael|Richard|Robert|Rosa|Sandra|Sarah|Sebastian|Sofia|Sophie|Stefan|Steven|Susan|Sylvie|Thomas|Ursula|Uwe|Victor|William|Wolfgang"
+)
 _CUES = {
     "email": r"e-?mail|contact|write to|mailto|correo|courriel",
     "ip": r"\bip\b|address|host|server|client|from",
@@ -70,7 +80,10 @@ _CUES = {
 }
 _ANTI_CUES = r"version|isbn|issn|doi|order no|invoice|serial|build|release|figure|table|section|commit"
 
-_SPAN = "array<struct<kind: string, start: bigint, end: bigint, votes: array<int>>>"
+#: What a span is told by besides the votes, each 0 or 1.
+TRAITS = ("after a mark", "before a word's end", "one digit over and over", "long", "capital first")
+
+_SPAN = "array<struct<kind: string, start: bigint, end: bigint, votes: array<int>, traits: array<int>>>"
 
 
 def _digits(value: Column) -> Column:
@@ -95,6 +108,17 @@ def _small_parts(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda x: (F.length(plain(x)) <= 3) & (F.substr(plain(x), F.lit(1), F.lit(3)).cast("int") <= 255))
 
 
+def _check_digits(account: Column) -> Column:
+    """Whether an account number of 15 to 34 characters, its first four moved to the end and letters read as 10 to 35, leaves 1 modulo 97."""
+    turned = F.concat(F.substr(account, F.lit(5), F.lit(30)), F.left(account, F.lit(4)))
+
+    def add(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48) % 97
+
+    return F.length(account).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), add) == 1)
+
+
 def _valid(kind: str, value: Column) -> Column:
     """The check that a base kind's match must pass, and the strict form of any other kind."""
     n = F.length(_digits(value))
@@ -107,7 +131,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9)") & ~value.rlike("-00-|-0000$")
     if kind == "iban":
-        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34)
+        return _check_digits(F.replace(value, F.lit(" "), F.lit("")))
     if kind == "local_phone":
         return value.rlike(r"^\(?[2-9]")
     return F.lit(True)
@@ -134,28 +158,54 @@ def _candidates(kind: str, text: Column) -> tuple[Column, Column]:
     return F.when(F.size(found) > 0, found), F.split(text, pattern, -1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value as its variable, so that the value is computed once however often a lambda in the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _span(kind: str, value: Column, gap: Column, after: Column, begin: Column) -> tuple[Column, Column]:
+    """A match as a span with votes and traits, and whether it stays a candidate: base kinds that fail their check do not."""
+    context, before, behind = F.lower(F.right(gap, F.lit(CONTEXT))), F.right(gap, F.lit(1)), F.left(after, F.lit(1))
+    valid = _valid(kind, value)
+    border = before.rlike(r"[A-Za-z0-9_]") | behind.rlike("[A-Za-z0-9_]")
+    if kind == "local_phone":  # the tail of a longer number is no number of its own
+        border = border | F.right(gap, F.lit(8)).rlike(r"[+0-9][0-9 ().-]*$")
+    votes = F.array(F.when(valid, 1).otherwise(-1), _gazetteer(kind, value), F.when(context.rlike(_CUES[kind]), 1).when(context.rlike(_ANTI_CUES), -1).otherwise(0), F.when(border, -1).otherwise(1))
+    flags = (context.rlike("[:=(<#\"'] ?$"), (behind == "") | behind.rlike(r"[\s.,;:!?)>\"']"), _digits(value).rlike(r"([0-9])\1{5}"), F.length(value) >= 20, value.rlike("^[A-Z]"))
+    traits = F.array(*[F.when(x, 1).otherwise(0) for x in flags])
+    end = begin + F.length(value)
+    one = F.struct(F.lit(kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), votes.alias("votes"), traits.alias("traits"))
+    return one, valid if kind in BASE_KINDS else F.lit(True)
+
+
 def _placed(kind: str, matches: Column, gaps: Column) -> Column:
-    """The matches as spans with votes, base kinds that fail their check left out."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc: Column, k: Column) -> Column:
-        value, gap, after = matches[k], gaps[k], gaps[k + 1]
-        begin = acc["at"] + F.length(gap)
-        end = begin + F.length(value)
-        context = F.lower(F.right(gap, F.lit(CONTEXT)))
-        valid = _valid(kind, value)
-        votes = F.array(
-            F.when(valid, 1).otherwise(-1),
-            _gazetteer(kind, value),
-            F.when(context.rlike(_CUES[kind]), 1).when(context.rlike(_ANTI_CUES), -1).otherwise(0),
-            F.when(F.right(gap, F.lit(1)).rlike(r"[A-Za-z0-9_]") | F.left(after, F.lit(1)).rlike("[A-Za-z0-9_]"), -1).otherwise(1),
-        )
-        one = F.struct(F.lit(kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), votes.alias("votes"))
-        keep = valid if kind in BASE_KINDS else F.lit(True)
-        return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["spans"], F.array(one).cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
+    """The matches as spans with votes and traits.
+
+    A fold adds up the lengths before each match. It works on blocks of a square root of the
+    matches, each with its own start, as appending to one array would copy it every time.
+    """
+    n = F.size(matches)
+    whole = F.lit(0).cast("long")
+    sizes = F.struct(F.ceil(F.sqrt(n.cast("double"))).cast("int").alias("b"), F.transform(matches, lambda m, k: (F.length(gaps[k]) + F.length(m)).cast("long")).alias("sizes"))
+
+    def blocks(x: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), n - 1, x["b"]), lambda at: F.aggregate(F.slice(x["sizes"], at + 1, x["b"]), whole, lambda s, v: s + v))
+        return F.struct(x["b"].alias("b"), sums.alias("sums"))
+
+    def folded(x: Column) -> Column:
+        def one_block(_: Column, i: Column) -> Column:
+            start = F.struct(F.aggregate(F.slice(x["sums"], F.lit(1), i), whole, lambda s, v: s + v).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["spans"])
-    return F.when(matches.isNull(), F.array().cast(_SPAN)).otherwise(folded)
+            def step(acc: Column, k: Column) -> Column:
+                begin = acc["at"] + F.length(gaps[k])
+                one, keep = _span(kind, matches[k], gaps[k], gaps[k + 1], begin)
+                return F.struct((begin + F.length(matches[k])).cast("long").alias("at"), F.when(keep, F.concat(acc["spans"], F.array(one).cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
+
+            return F.aggregate(F.sequence(i * x["b"], F.least(i * x["b"] + x["b"], n) - 1), start, step, lambda acc: acc["spans"])
+
+        return F.flatten(F.transform(x["sums"], one_block))
+
+    return F.when(matches.isNull(), F.array().cast(_SPAN)).otherwise(_let(_let(sizes, blocks), folded))
 
 
 def candidates(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -166,70 +216,95 @@ def candidates(docs: DataFrame, text_col: str = "text", spans_col: str = "spans"
     return split.select(*[F.col(f"`{c}`") for c in names], F.concat(*[_placed(k, F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in KINDS]).alias(spans_col))
 
 
-# -- reliabilities and the classifier, over vote patterns ----------------------------------
+# -- reliabilities and the classifier, over patterns of votes and traits ----------------------
 
-Pattern = tuple[str, tuple[int, ...], float]
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...], float]
 
 
 def estimate(patterns: list[Pattern], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:
-    """Posteriors of vote patterns (kind, votes, count) by expectation-maximisation; votes count as independent given the class."""
-    kinds = sorted({k for k, _, _ in patterns})
-    prior = dict.fromkeys(kinds, 0.7)
-    # Of labeler j, class c: probabilities of the votes -1, 0, 1. A labeler starts out more right than wrong.
-    rates = [[[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]] for _ in LABELERS]
+    """Posteriors by kind and votes, by expectation-maximisation; votes count as independent given the class, abstentions not at all."""
+    counts: dict[tuple[str, tuple[int, ...]], float] = {}
+    for kind, votes, _, n in patterns:
+        counts[kind, votes] = counts.get((kind, votes), 0.0) + n
+    # A kind's prior, and of labeler j, class c the probability that a vote it casts is for the span; each counts as ten spans at first.
+    prior = {k: 0.7 for k, _ in counts}
+    rates = [[0.25, 0.75] for _ in LABELERS]
     posterior: dict[tuple[str, tuple[int, ...]], float] = {}
     for _ in range(rounds):
-        for kind, votes, _ in patterns:
+        for kind, votes in counts:
             no, yes = 1 - prior[kind], prior[kind]
-            for j, v in enumerate(votes):
-                no *= rates[j][0][v + 1]
-                yes *= rates[j][1][v + 1]
+            for (wrong, right), v in zip(rates, votes, strict=True):
+                if v:
+                    no *= wrong if v > 0 else 1 - wrong
+                    yes *= right if v > 0 else 1 - right
             posterior[kind, votes] = yes / (yes + no)
-        for kind in kinds:
-            own = [(posterior[k, v], n) for k, v, n in patterns if k == kind]
+        for kind in prior:
+            own = [(posterior[k, v], n) for (k, v), n in counts.items() if k == kind]
             prior[kind] = (7 + sum(p * n for p, n in own)) / (10 + sum(n for _, n in own))
         for j in range(len(LABELERS)):
-            for c in (0, 1):
-                sums = [3.0 * r for r in ([0.5, 0.3, 0.2], [0.2, 0.3, 0.5])[c]]
-                for kind, votes, n in patterns:
-                    p = posterior[kind, votes]
-                    sums[votes[j] + 1] += n * (p if c else 1 - p)
-                rates[j][c] = [s / sum(sums) for s in sums]
+            for c, start in ((0, 2.5), (1, 7.5)):
+                cast = [(n * (posterior[k] if c else 1 - posterior[k]), k[1][j]) for k, n in counts.items() if k[1][j]]
+                rates[j][c] = (start + sum(n for n, v in cast if v > 0)) / (10 + sum(n for n, _ in cast))
     return posterior
 
 
-def train(patterns: list[Pattern], rounds: int = 300, rate: float = 0.5) -> tuple[dict[str, float], list[float]]:
-    """Logistic regression on the posteriors: an intercept for each kind and a weight for each labeler."""
+class Model(NamedTuple):
+    """The span classifier: intercepts by kind, weights of the votes, weights of the traits by kind."""
+
+    intercepts: dict[str, float]
+    votes: list[float]
+    traits: dict[str, list[float]]
+
+    def odds(self, kind: str, votes: tuple[int, ...], traits: tuple[int, ...]) -> float:
+        return self.intercepts[kind] + sum(w * v for w, v in zip(self.votes, votes, strict=True)) + sum(w * t for w, t in zip(self.traits[kind], traits, strict=True))
+
+
+def train(patterns: list[Pattern], rounds: int = 300, rate: float = 1.0, hold: float = 0.02) -> Model:
+    """Logistic regression on the posteriors, each kind weighing as the logarithm of its spans.
+
+    Weights are drawn to those of a majority (a vote 1, a trait 0); votes never count
+    against what they say, intercepts lie in -1..2 and a trait's weight in -1..1.
+    """
     posterior = estimate(patterns)
-    intercepts, weights = {k: 0.0 for k in KINDS}, [0.0] * len(LABELERS)
-    scale = {k: math.log1p(sum(n for kind, _, n in patterns if kind == k)) for k in KINDS}
-    shares = [(k, v, scale[k] * n / max(1.0, sum(m for kind, _, m in patterns if kind == k)), posterior[k, v]) for k, v, n in patterns]
-    total = sum(n for _, _, n, _ in shares) or 1.0
-    for _ in range(rounds):
-        step_k, step_w = dict.fromkeys(KINDS, 0.0), [0.0] * len(LABELERS)
-        for kind, votes, n, target in shares:
-            z = intercepts[kind] + sum(w * v for w, v in zip(weights, votes, strict=True))
-            error = n / total * (target - 1 / (1 + math.exp(-z)))
+    model = Model(dict.fromkeys(KINDS, 0.0), [1.0] * len(LABELERS), {k: [0.0] * len(TRAITS) for k in KINDS})
+    sums = {k: sum(n for kind, _, _, n in patterns if kind == k) for k in KINDS}
+    total = sum(math.log1p(n) for n in sums.values()) or 1.0
+    rows = [(k, v, t, math.log1p(sums[k]) * n / sums[k] / total, posterior[k, v]) for k, v, t, n in patterns]
+    for _ in range(rounds if rows else 0):
+        step_k, step_v = dict.fromkeys(KINDS, 0.0), [hold * (1.0 - w) for w in model.votes]
+        step_t = {k: [-hold * w for w in ws] for k, ws in model.traits.items()}
+        for kind, votes, traits, share, target in rows:
+            error = share * (target - 1 / (1 + math.exp(-model.odds(kind, votes, traits))))
             step_k[kind] += error
             for j, v in enumerate(votes):
-                step_w[j] += error * v
-        intercepts = {k: v + 4 * rate * step_k[k] for k, v in intercepts.items()}
-        weights = [w + rate * s for w, s in zip(weights, step_w, strict=True)]
-    return intercepts, weights
+                step_v[j] += error * v
+            for j, t in enumerate(traits):
+                step_t[kind][j] += error * t
+        model = Model(
+            {k: min(max(b + 4 * rate * step_k[k], -1.0), 2.0) for k, b in model.intercepts.items()},
+            [max(w + rate * s, 0.0) for w, s in zip(model.votes, step_v, strict=True)],
+            {k: [min(max(w + rate * s, -1.0), 1.0) for w, s in zip(ws, step_t[k], strict=True)] for k, ws in model.traits.items()},
+        )
+    return model
 
 
-def _kept(spans: Column, model: tuple[dict[str, float], list[float]]) -> Column:
+def _kept(spans: Column, model: Model) -> Column:
     """Base spans, and others that the classifier gives at least even odds."""
-    intercepts, weights = model
-    bias = F.create_map(*[F.lit(x) for k, v in intercepts.items() for x in (k, float(v))])
-    odds = lambda s: reduce(lambda a, b: a + b, [s["votes"][j] * F.lit(float(w)) for j, w in enumerate(weights)], bias[s["kind"]])
+    by_kind = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    bias = by_kind({k: F.lit(float(v)) for k, v in model.intercepts.items()})
+    traits = by_kind({k: F.array(*[F.lit(float(w)) for w in ws]) for k, ws in model.traits.items()})
+
+    def odds(s: Column) -> Column:
+        votes = [s["votes"][j] * F.lit(float(w)) for j, w in enumerate(model.votes)]
+        return reduce(add, [*votes, *[s["traits"][j] * traits[s["kind"]][j] for j in range(len(TRAITS))]], bias[s["kind"]])
+
     return F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS) | (odds(s) >= 0))
 
 
-def fitted(found: DataFrame, spans_col: str = "spans") -> tuple[dict[str, float], list[float]]:
-    """The classifier for a table of candidates; at most len(KINDS) * 3^4 rows reach the driver."""
-    each = found.select(F.explode(spans_col).alias("s")).groupBy("s.kind", "s.votes").count()
-    return train([(r["kind"], tuple(r["votes"]), float(r["count"])) for r in each.collect()])
+def fitted(found: DataFrame, spans_col: str = "spans") -> Model:
+    """The classifier for a table of candidates; at most len(KINDS) * 3^4 * 2^5 rows reach the driver."""
+    each = found.select(F.explode(spans_col).alias("s")).groupBy("s.kind", "s.votes", "s.traits").count()
+    return train(sorted((r["kind"], tuple(r["votes"]), tuple(r["traits"]), float(r["count"])) for r in each.collect()))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
