@@ -1,20 +1,26 @@
 """WARC archives as a Spark data source, written and read in Python.
 
-Reading: the driver plans partitions from file sizes (small files share one), record-type
-and header predicates are pushed down to the reader, which parses a record's headers
-first and decodes its payload only where the predicates hold. A gzip member written here
-carries its own compressed length in an extra field, so an unwanted record is skipped by
-a seek; members without it are inflated and discarded, uncompressed records are skipped
-by their content length.
-
-Writing: each task writes one file under a name of its own and reports it; the commit
-writes a manifest of the reported files, and readers follow the manifest. What a lost or
-repeated task leaves behind is never read.
+Reading: the driver plans partitions from file sizes (small files share one, large files
+written here are split at record bounds), record-type and header predicates are pushed down
+to the reader, which parses a record's headers first and decodes its payload only where the
+predicates hold. A gzip member written here carries its own compressed length in an extra
+field, so an unwanted record is skipped by a seek; members without it are inflated and
+discarded, uncompressed records are skipped by their content length.
+
+Predicates travel as an option of the scan that ``read`` makes for its ``where`` argument.
+The source takes none from filters put on a frame later: Spark keeps what was pushed down
+to a relation for every other use of it, so a frame filtered twice would lose rows.
+
+Writing: each task writes files under names of its own, a new one after ``ROLL_BYTES``, and
+reports them with places where they can be split; the commit writes a manifest of the
+reported files, and readers follow the manifest. What a lost or repeated task leaves behind
+is never read.
 
 Defined results: a null html is the empty payload; rows that repeat both page id and
 payload are all responses if theirs is the largest id of its payload; a null page id is a
 revisit wherever its payload has a row with an id; an empty table gives an archive without
-records; columns other than page_id, url and html are not read.
+records; columns other than page_id, url and html are not read. Page ids must be integers
+for ``round_trip``, which reads them back from the record ids; others raise a TypeError.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.types import IntegralType
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from rillstone.llm.common import bounded_batches, shared_dir
 
@@ -47,6 +54,8 @@ _ARROW = pa.schema(
 _MANIFEST = "_manifest.json"
 _PARTITION_BYTES = 64 << 20
 _BATCH_BYTES = 8 << 20
+#: A writing task begins a new file after so many bytes.
+ROLL_BYTES = 1 << 30
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -113,10 +122,10 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
 
 
 class _Source:
-    """A file of records, compressed or not, read in order."""
+    """Records of a file, compressed or not, in order: of a compressed one those that start in a range of bytes."""
 
-    def __init__(self, stream: IO[bytes], wanted: Any) -> None:  # noqa: ANN401
-        self.stream, self.wanted = stream, wanted
+    def __init__(self, stream: IO[bytes], wanted: Any, start: int = 0, end: int | None = None) -> None:  # noqa: ANN401
+        self.stream, self.wanted, self.start, self.end = stream, wanted, start, end
         self.decoded = 0
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -147,8 +156,8 @@ class _Source:
             data = data[size:] if len(data) >= size else b""
 
     def _members(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        stream, at = self.stream, 0
-        while True:
+        stream, at = self.stream, self.start
+        while self.end is None or at < self.end:
             stream.seek(at)
             data = stream.read(1 << 14)
             if not data:
@@ -192,72 +201,60 @@ class _Source:
 
 @dataclass
 class Files(InputPartition):
-    paths: tuple[str, ...]
+    """Ranges (path, first byte, end; none for the whole file) that one task reads."""
+
+    ranges: tuple[tuple[str, int, int | None], ...]
 
-    def __init__(self, paths: tuple[str, ...]) -> None:
+    def __init__(self, ranges: tuple[tuple[str, int, int | None], ...]) -> None:
         super().__init__(0)
-        self.paths = paths
+        self.ranges = ranges
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    #: Names of files, each with the places at which it can be split.
+    files: tuple[tuple[str, tuple[int, ...]], ...]
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, where: dict[str, list[str]] | None = None) -> None:
         self.path = path
-        self.tests: list[tuple[str, tuple | None]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Take equality, membership and presence tests of header columns; give back all others."""
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            if name in _HEADER_OF and isinstance(f, EqualTo):
-                self.tests.append((name, (f.value,)))
-            elif name in _HEADER_OF and isinstance(f, In):
-                self.tests.append((name, tuple(f.value)))
-            elif name in _HEADER_OF and isinstance(f, IsNotNull):
-                self.tests.append((name, None))
-            else:
-                yield f
+        self.tests = {name: frozenset(values) for name, values in (where or {}).items()}
 
     def partitions(self) -> list[Files]:
         system, root = _filesystem(self.path)
         info = system.get_file_info(root)
         if info.type == fs.FileType.File:
-            return [Files((root,))]
+            return [Files(((root, 0, None),))]
+        root = root.rstrip("/")
         listed = system.get_file_info(fs.FileSelector(root, recursive=True))
         sizes = {f.path: f.size for f in listed if f.type == fs.FileType.File}
-        manifest = f"{root.rstrip('/')}/{_MANIFEST}"
-        if manifest in sizes:
-            with system.open_input_stream(manifest) as stream:
-                names = [f"{root.rstrip('/')}/{n}" for n in json.loads(stream.read())]
+        if f"{root}/{_MANIFEST}" in sizes:
+            with system.open_input_stream(f"{root}/{_MANIFEST}") as stream:
+                files = [(f"{root}/{name}", cuts) for name, cuts in json.loads(stream.read())]
         else:
-            names = [n for n in sizes if not os.path.basename(n).startswith(("_", "."))]
+            files = [(n, ()) for n in sizes if not os.path.basename(n).startswith(("_", "."))]
         out, now, total = [], [], 0
-        for name in sorted(names):
-            if now and total + sizes[name] > _PARTITION_BYTES:
-                out.append(Files(tuple(now)))
-                now, total = [], 0
-            now.append(name)
-            total += sizes[name]
+        for path, cuts in sorted(files):
+            for start, end in zip((0, *cuts), (*cuts, None), strict=True):
+                size = (sizes[path] if end is None else end) - start
+                if now and total + size > _PARTITION_BYTES:
+                    out.append(Files(tuple(now)))
+                    now, total = [], 0
+                now.append((path, start, end))
+                total += size
         return [*out, Files(tuple(now))]
 
     def wanted(self, headers: dict[str, str]) -> bool:
-        for name, values in self.tests:
-            value = _column(headers, name)
-            if value is None or values is not None and value not in values:
-                return False
-        return True
+        return all((_column(headers, name) if name in _HEADER_OF else headers.get(name.lower())) in values for name, values in self.tests.items())
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
         rows: list[dict] = []
         size = 0
-        for path in partition.paths:
+        for path, start, end in partition.ranges:
             with system.open_input_file(path) as stream:
-                for headers, block in _Source(stream, self.wanted):
+                for headers, block in _Source(stream, self.wanted, start, end):
                     row = {name: _column(headers, name) for name in _HEADER_OF}
                     rows.append(row | {"content_length": int(headers.get("content-length", "0")), "headers": list(headers.items()), "payload": _payload(headers, block)})
                     size += len(block)
@@ -270,35 +267,48 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceWriter):
     """Writes rows of headers (in order, as an array of name and value) and a block."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, roll: int = ROLL_BYTES, split: int = _PARTITION_BYTES) -> None:
+        self.path, self.roll, self.split = path, roll, split
 
     def write(self, iterator: Iterator) -> Written:
         system, root = _filesystem(self.path)
-        name, sink = f"part-{uuid.uuid4().hex}.warc.gz", None
+        files: list[tuple[str, list[int]]] = []
+        sink, size = None, 0
         for row in iterator:
             if sink is None:
                 system.create_dir(root, recursive=True)
-                sink = system.open_output_stream(f"{root}/{name}", compression=None)
+                files.append((f"part-{uuid.uuid4().hex}.warc.gz", []))
+                sink, size = system.open_output_stream(f"{root}/{files[-1][0]}", compression=None), 0
+            cuts = files[-1][1]
+            if size - (cuts[-1] if cuts else 0) >= self.split:
+                cuts.append(size)
             block = bytes(row["block"])
             fields = [(h["name"], h["value"]) for h in row["headers"]] + [("Content-Length", str(len(block)))]
-            sink.write(member(header_block(fields) + block + b"\r\n\r\n"))
-        if sink is None:
-            return Written(None)
-        sink.close()
-        return Written(name)
+            record = member(header_block(fields) + block + b"\r\n\r\n")
+            sink.write(record)
+            size += len(record)
+            if size >= self.roll:
+                sink.close()
+                sink = None
+        if sink is not None:
+            sink.close()
+        return Written(tuple((name, tuple(cuts)) for name, cuts in files))
 
     def commit(self, messages: list) -> None:
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
+        files = [f for m in messages if m for f in m.files]
+        if system.get_file_info(f"{root}/{_MANIFEST}").type == fs.FileType.File:
+            with system.open_input_stream(f"{root}/{_MANIFEST}") as stream:
+                files += json.loads(stream.read())
         with system.open_output_stream(f"{root}/{_MANIFEST}") as sink:
-            sink.write(json.dumps(sorted(m.name for m in messages if m and m.name)).encode())
+            sink.write(json.dumps(sorted((name, list(cuts)) for name, cuts in files)).encode())
 
     def abort(self, messages: list) -> None:
         system, root = _filesystem(self.path)
         for m in messages:
-            if m and m.name:
-                system.delete_file(f"{root}/{m.name}")
+            for name, _ in m.files if m else ():
+                system.delete_file(f"{root}/{name}")
 
 
 class WarcSource(DataSource):
@@ -310,14 +320,13 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:  # noqa: ANN001
-        return WarcReader(self.options["path"])
+        return WarcReader(self.options["path"], json.loads(self.options.get("where", "{}")))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:  # noqa: ANN001
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", ROLL_BYTES)), int(self.options.get("split_bytes", _PARTITION_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
@@ -359,15 +368,22 @@ def page_records(pages: DataFrame, least_bytes: int = 1000, date: str = "2024-01
     return marked.select(F.concat(F.array(*fields), extra).alias("headers"), F.when(again, http).otherwise(F.concat(http, F.col("body"))).alias("block"))
 
 
-def write(records: DataFrame, path: str) -> None:
+def write(records: DataFrame, path: str, **options: int) -> None:
+    """Append records (headers, block) to the archives under a path; options roll_bytes and split_bytes."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").options(**options).mode("append").save(path)
+
 
+def read(spark: SparkSession, path: str, where: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """The records under a path.
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records under a path. Filter a frame of this once: Spark keeps what was pushed down to it; call read again for another predicate."""
+    where: for header columns (record_type, target_uri and so on) or names of headers, the
+    values that are wanted; it decides in the reader which records are decoded at all.
+    Filters on the frame come after it and may be as many as one likes.
+    """
     register(spark)
-    return spark.read.format("warc").load(path)
+    wanted = {name: [v] if isinstance(v, str) else list(v) for name, v in (where or {}).items()}
+    return spark.read.format("warc").option("where", json.dumps(wanted)).load(path)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -376,13 +392,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
     Responses are decoded and measured; of revisits, which have no payload, only headers are read.
     """
     spark = pages.sparkSession
+    if not isinstance(pages.schema["page_id"].dataType, IntegralType):
+        raise TypeError("page ids must be integers")
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(page_records(pages), path)
     number = lambda name: F.try_to_number(F.regexp_extract(name, "<urn:page:(-?[0-9]+)>", 1), F.lit("S9999999999999999999")).cast("long")
     columns = lambda size, digest: [number("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("record_type"), number("refers_to").alias("refers_to")]
-    full = read(spark, path).where("record_type = 'response'").select(*columns(F.length("payload"), F.sha1("payload")))
-    again = read(spark, path).where("record_type = 'revisit'").select(*columns(F.col("headers")["x-payload-length"], F.col("payload_digest")))
+    full = read(spark, path, {"record_type": "response"}).select(*columns(F.length("payload"), F.sha1("payload")))
+    again = read(spark, path, {"record_type": "revisit"}).select(*columns(F.col("headers")["x-payload-length"], F.col("payload_digest")))
     return full.union(again)
 
 
