@@ -2,7 +2,11 @@
 
 Every round is two grouped minima and two joins over narrow rows; each round's edges are
 written to the shared folder, so lineage stays short and a lost executor costs no more
-than the round. Nothing is collected: the driver sees only two numbers per round.
+than the round. Nothing is collected: the driver sees only two numbers per round. A node
+with a large share of all edges is joined where its edges lie.
+
+Defined results: edges with a null end are left out; loops and repeated edges are allowed; a
+node with loops alone is in no row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import materialise
+from rillstone.llm.common import HOT_KEYS, join_with_hot_keys, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,17 +22,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _lowest(edges: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(u, m): of each node the smallest neighbour, and the nodes with a large share of the edges."""
+    found = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return found.select("u", F.least("u", "m").alias("m")), found.where(F.col("n") * HOT_KEYS > rows).select("u")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node that each node of an edge reaches. Loops and repeated edges are allowed."""
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    """(node, root): the smallest node that each node of an edge reaches."""
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     now = materialise(now, "component-edges")
     seen = _state(now)
     while seen[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pulled = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low, hot = _lowest(both, 2 * seen[0])
+        large = join_with_hot_keys(both.where("v > u"), low, "u", hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "component-stars")
+        low, hot = _lowest(large, seen[0])
+        pulled = join_with_hot_keys(large, low, "u", hot=hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = pulled.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         now = materialise(small, "component-edges")
         then, seen = seen, _state(now)
