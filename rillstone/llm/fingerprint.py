@@ -9,33 +9,41 @@ A bit is set where the signed votes are positive.
 All fingerprints within a Hamming radius r are found by cutting the bits into r + ``SPARE``
 blocks: two fingerprints within r agree on at least ``SPARE`` blocks, so for every choice
 of ``SPARE`` blocks there is a table keyed by them (the permuted fingerprint's leading
-bits). Only equal keys are compared, and each comparison is on all bits.
+bits). Only equal keys are compared, and each comparison is on all bits. A pair counts in
+the first table that it agrees in, so nothing has to be made distinct afterwards. A key
+with many fingerprints is dealt out to several tasks.
 
 Defined results: a null text is the empty text; a text without words has fingerprint zero;
 equal texts have equal fingerprints; an empty table gives no rows; rows follow each other
-by id descending, null ids last, repeated ids by a hash of their texts.
+by id descending, null ids last, repeated ids by a hash of their texts; ids that are no
+integers raise a TypeError where the order matters; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from rillstone.llm.common import bounded_batches, materialise, partitions, whole_text
+from rillstone.llm.common import bounded_batches, join_with_hot_keys, materialise, partitions, whole_text
 
 BITS = 128
 MAX_WEIGHT = 15
 SPARE = 2
+#: Fingerprints of a key that one task compares; keys with more are dealt out, so many at most.
+KEY_ROWS, CROWDED_KEYS = 8192, 200_000
 #: Bytes that are voted on at once, and terms whose weights surely fit a 16-bit lane.
 CHUNK = 1 << 21
 LANE = 65535 // MAX_WEIGHT
 
+_GAP = re.compile(rb"[\x09-\x0d\x20]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -62,19 +70,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _cut(text: bytes) -> list[bytes]:
-    """Pieces of at most CHUNK bytes, cut at white space, each starting with the last word of the one before."""
+    """Pieces of about CHUNK bytes, cut at white space only, each starting with the last word of the one before."""
     found, start = [], 0
     while len(text) - start > CHUNK:
-        words = text[start : start + CHUNK].rsplit(None, 2)
-        if len(words) < 3:  # a word longer than half a chunk: cut it
-            found.append(text[start : start + CHUNK])
-            start += CHUNK
+        gap = _GAP.search(text, start + CHUNK)
+        if gap is None:
+            break
+        end = gap.start()
+        words = text[start:end].rsplit(None, 1)
+        if not words:  # white space alone
+            start = gap.end()
             continue
-        end = start + CHUNK - len(words[2]) if not text[start + CHUNK - 1 : start + CHUNK].isspace() else start + CHUNK
-        piece = text[start:end]
-        last = len(piece.rstrip()) - len(piece.split()[-1])
-        found.append(piece)
-        start += last if last > 0 else len(piece)
+        last = end - len(words[-1])
+        if len(words) < 2:  # one long word: the next piece starts with it and the word after it
+            after = _GAP.search(text, gap.end())
+            if after is None:
+                break
+            end, last = after.start(), gap.end()
+        found.append(text[start:end])
+        start = last
     return [*found, text[start:]]
 
 
@@ -178,6 +192,8 @@ def in_sequence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The texts are shuffled once. The runs' bounds are quantiles of the ids, as many as
     there are shuffle partitions; only these and each run's largest id reach the driver.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError("ids must be integers")
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole_text(f"`{text_col}`").alias("text"))
     cuts = rows.stat.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
@@ -248,62 +264,89 @@ def block_tables(fingerprint: Column, radius: int, bits: int = BITS, spare: int
     return F.array(*[F.struct(F.lit(t).alias("table"), F.concat(*[blocks[k] for k in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(radius + spare), spare))])
 
 
-def search(queries: DataFrame, prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
-    """(query, fingerprint, distance): for each distinct query fingerprint all distinct fingerprints within the radius.
+def _masks(radius: int, bits: int, spare: int) -> np.ndarray:
+    """Of each block, its bits in the fingerprint's big-endian words."""
+    digits, cuts = bits // 4, [bits // 4 * k // (radius + spare) for k in range(radius + spare + 1)]
+    whole = [int("".join("f" if a <= d < b else "0" for d in range(digits)), 16) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return np.array([[(m >> (bits - 64 * (k + 1))) & (2**64 - 1) for k in range(bits // 64)] for m in whole], np.uint64)
 
-    Both frames have a column fingerprint. A pair that several tables find is reported by the first of them.
-    """
-    left = queries.select(F.col("fingerprint").alias("query")).distinct()
-    right = prints.select("fingerprint").distinct()
-    keyed = left.select("query", F.inline(block_tables(F.col("query"), radius, bits)))
-    found = keyed.join(right.select("fingerprint", F.inline(block_tables(F.col("fingerprint"), radius, bits))), ["table", "key"])
-    word = lambda name, at: F.conv(F.substring(name, at, 16), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("query", a).bitwiseXOR(word("fingerprint", a))) for a in range(1, bits // 4 + 1, 16)), F.lit(0))
-    return found.select("query", "fingerprint", distance.cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
 
+def _meetings(queries: DataFrame, prints: DataFrame, radius: int, bits: int, spare: int, key_rows: int) -> DataFrame:
+    """(table, key, part, asks, fp): every query and fingerprint in every table, the queries of a key with many fingerprints in each of its parts."""
+    spark = prints.sparkSession
+    keys = lambda frame: frame.select("fingerprint", F.inline(block_tables(F.col("fingerprint"), radius, bits, spare))).select("table", F.xxhash64("key").alias("key"), F.unhex("fingerprint").alias("fp"))
+    members, asked = keys(prints.select("fingerprint").distinct()), keys(queries.select("fingerprint").distinct())
+    sizes = members.groupBy("table", "key").count().where(F.col("count") > key_rows)
+    # At most CROWDED_KEYS rows, so it can be broadcast; beyond them only larger keys are dealt out.
+    crowded = sizes.orderBy(F.desc("count"), "table", "key").limit(CROWDED_KEYS).select("table", "key", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"))
+    parts = lambda frame: frame.join(F.broadcast(crowded), ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = parts(members).select("table", "key", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "fp")
+    sent = parts(asked).select("table", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "fp")
+    return held.unionByName(sent).repartition(partitions(spark), "table", "key", "part").sortWithinPartitions("table", "key", "part", F.desc("asks"))
 
-def with_neighbours(prints: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
-    """(fingerprint): the distinct fingerprints that have another one within the radius.
 
-    Each table's rows meet by key in one task; there a fingerprint is compared with its
-    key's others only until it has met one, so a crowded key costs no table of pairs.
-    """
+def _compared(queries: DataFrame, prints: DataFrame, radius: int, bits: int, spare: int, key_rows: int, pairs: bool) -> DataFrame:
     bounded_batches(prints.sparkSession, 1 << 13)
-    distinct = prints.select("fingerprint").distinct()
-    keyed = distinct.select("fingerprint", F.inline(block_tables(F.col("fingerprint"), radius, bits))).withColumn("key", F.xxhash64("table", "key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "fingerprint")
-    dealt = shared.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key", "fingerprint")
+    masks, tables = _masks(radius, bits, spare), list(combinations(range(radius + spare), spare))
+
+    def near(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
+        """Distances of all of a to all of b; 255 where they are beyond the radius or meet in an earlier table too."""
+        apart = a[:, None] ^ b[None]
+        distance = np.bitwise_count(apart).sum(axis=2, dtype=np.uint8)
+        rows, columns = np.nonzero(distance <= radius)
+        equal = ((apart[rows, columns][:, None] & masks[None]) == 0).all(axis=2)
+        first = np.array([next(t for t, chosen in enumerate(tables) if e[list(chosen)].all()) == table for e in equal], bool)
+        out = np.full(distance.shape, 255, np.uint8)
+        out[rows[first], columns[first]] = distance[rows[first], columns[first]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str]] = []
-
-        def emit(rows: list[tuple[int, str]]) -> pa.RecordBatch:
-            keys = np.array([k for k, _ in rows], np.int64)
-            values = np.frombuffer(bytes.fromhex("".join(x for _, x in rows)), np.uint64).reshape(len(rows), -1)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            met = np.zeros(len(rows), bool)
+        spot, asking = None, np.zeros((0, bits // 64), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, key, part, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            fp = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").astype(np.uint64).reshape(len(table), -1)
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1, [len(table)]])
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                for k in range(s, e):
-                    if not met[k]:
-                        near = np.bitwise_count(values[s:e] ^ values[k]).sum(axis=1) <= radius
-                        if near.sum() > 1:
-                            met[s:e] |= near
-            return pa.RecordBatch.from_arrays([pa.array([x for (_, x), m in zip(rows, met, strict=True) if m], pa.string())], names=["fingerprint"])
+                now = (int(table[s]), int(key[s]), int(part[s]))
+                fresh = fp[s:e][asks[s:e]]
+                asking = fresh if now != spot else np.concatenate([asking, fresh])
+                spot, held = now, fp[s:e][~asks[s:e]]
+                for k in range(0, len(asking) if len(held) else 0, 512):
+                    distance = near(asking[k : k + 512], held, now[0])
+                    rows, columns = np.nonzero(distance <= radius)
+                    if pairs:
+                        found.append((asking[k + rows], held[columns], distance[rows, columns]))
+                    else:
+                        n = np.bincount(rows, weights=distance[rows, columns] > 0, minlength=len(distance)).astype(np.int64)
+                        found.append((asking[k : k + 512][n > 0], asking[:0], n[n > 0]))
+            if found:
+                a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                words = lambda x: pa.array([r.astype(">u8").tobytes().hex() for r in x], pa.string())
+                yield pa.RecordBatch.from_arrays([words(a), *([words(b)] if pairs else []), pa.array(n.astype(np.int64))], names=["query", *(["fingerprint"] if pairs else []), "n"])
+
+    return _meetings(queries, prints, radius, bits, spare, key_rows).mapInArrow(run, f"query string, {'fingerprint string, ' if pairs else ''}n long")
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int, bits: int = BITS, spare: int = SPARE, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(query, fingerprint, distance): for each distinct query fingerprint all distinct fingerprints within the radius, itself too.
+
+    Both frames have a column fingerprint.
+    """
+    return _compared(queries, prints, radius, bits, spare, key_rows, True).select("query", "fingerprint", F.col("n").cast("int").alias("distance"))
 
-        for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            last = next((k for k in range(len(held) - 1, -1, -1) if held[k][0] != held[-1][0]), -1) + 1
-            if last:
-                yield emit(held[:last])
-                held = held[last:]
-        if held:
-            yield emit(held)
 
-    return dealt.mapInArrow(run, "fingerprint string").distinct()
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int, bits: int = BITS, spare: int = SPARE, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(query, n_near): of each distinct query fingerprint that has any, how many other distinct fingerprints lie within the radius."""
+    return _compared(queries, prints, radius, bits, spare, key_rows, False).groupBy("query").agg(F.sum("n").alias("n_near"))
 
 
-def report(docs: DataFrame, radius: int = 4, bits: int = BITS) -> DataFrame:
-    """edited_likeness with has_near: whether another fingerprint of the table lies within the radius."""
+def report(docs: DataFrame, radius: int = 4, bits: int = BITS, every: int = 20) -> DataFrame:
+    """edited_likeness with n_near: for the query set, rows whose id is divisible by every, how many other distinct fingerprints of the whole table lie within the radius; null for others."""
     rows = materialise(edited_likeness(docs, bits=bits), "fingerprints")
-    near = materialise(with_neighbours(rows, radius, bits), "neighbours").withColumn("has_near", F.lit(True))
-    return rows.join(near, "fingerprint", "left").withColumn("has_near", F.coalesce("has_near", F.lit(False)))
+    asks = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    near = materialise(near_counts(rows.where(asks), rows, radius, bits), "neighbours")
+    joined = join_with_hot_keys(rows.where(asks), near.withColumnRenamed("query", "fingerprint"), "fingerprint", "left")
+    return joined.withColumn("n_near", F.coalesce("n_near", F.lit(0))).unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))

@@ -13,7 +13,7 @@ from rillstone.llm.common import table
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.report(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near")
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
