@@ -3,7 +3,8 @@
 The texts are grouped by (hash, text): the hash decides where a row goes and which rows are
 compared at all, the grouping itself compares the bytes, so two texts that merely share a
 hash stay apart. Copies collapse before the shuffle (partial aggregation), so a text that
-a third of all rows repeat costs one row per map task.
+a third of all rows repeat costs one row per map task; its narrow member rows are joined
+where they lie, without a shuffle.
 
 Defined results: a null text counts as the empty text; an empty table gives no rows; rows
 that repeat both id and text are kept or dropped together by ``annotate`` and collapse to
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import whole_text
+from rillstone.llm.common import HOT_KEYS, join_with_hot_keys, materialise, whole_text
 
 
 def content_hash(text: Column) -> tuple[Column, Column]:
@@ -35,10 +36,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     groups = (
         rows.groupBy(h1.alias("_h1"), h2.alias("_h2"), "_text")
         .agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("_h1", "_h2", F.sha2("_text", 256).alias("_sha"), "keep_id", "group_size")
+        .select(F.struct("_h1", "_h2", F.sha2("_text", 256).alias("_sha")).alias("_key"), "keep_id", "group_size")
     )
-    members = rows.select("_id", h1.alias("_h1"), h2.alias("_h2"), F.sha2("_text", 256).alias("_sha"))
-    joined = members.join(groups, ["_h1", "_h2", "_sha"])
+    groups = materialise(groups, "text-groups")
+    members = rows.select("_id", F.struct(h1.alias("_h1"), h2.alias("_h2"), F.sha2("_text", 256).alias("_sha")).alias("_key"))
+    members = materialise(members, "text-members")
+    n = groups.agg(F.sum("group_size")).first()[0] or 0
+    joined = join_with_hot_keys(members, groups, "_key", hot=groups.where(F.col("group_size") * HOT_KEYS > n).select("_key")).withColumn("_sha", F.col("_key._sha"))
     return joined.select(
         F.col("_id").alias(id_col),
         "keep_id",
