@@ -14,7 +14,7 @@ are collected. Everything else covers every document.
 Defined results: null and empty texts have all features zero and get the model's score for
 them; without labelled rows of both classes the score is the share of label 1 (a half
 without any); labels that are null, and repeated labels of an id beyond the largest, are
-left out; rows with null or repeated ids are scored like any other; an empty table gives
+left out; of rows that repeat both id and text one is learned from; rows with null or repeated ids are scored like any other; an empty table gives
 no rows.
 """
 
@@ -215,7 +215,9 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], names=["label", *FEATURES])
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(sample), "id").select("label", "text")
+    # Rows that repeat an id: of those with one text, one; of the rest, those with the smallest hashes, sample_rows in all.
+    chosen = texts.join(F.broadcast(sample), "id").select("label", "id", "text", F.xxhash64("text").alias("h")).dropDuplicates(["id", "text"])
+    chosen = chosen.orderBy("h", "id").limit(sample_rows).select("label", "text")
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
     got = np.array([tuple(r) for r in chosen.mapInArrow(run, schema).collect()], float).reshape(-1, len(FEATURES) + 1)
     got = got[np.lexsort(got.T)]  # the same model whatever the order of arrival
