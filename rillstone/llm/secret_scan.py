@@ -2,14 +2,15 @@
 
 The base patterns report credentials by their surroundings or shape. What they cannot
 tell apart from any other long run of letters is decoded (base64, base64url or hex) and
-parsed: a private key must be a DER value whose nested lengths fill it exactly and whose
-first fields are those of a known key format, an OpenSSH key must carry its magic and
-whole length-prefixed fields, a signed token must have a JSON header that names an
-algorithm, a JSON payload and a signature. Only what parses is reported.
+parsed: a private key must be a DER value whose nested lengths fill it exactly down to the
+algorithm's identifier and the key inside, an OpenSSH key must carry its magic and whole
+length-prefixed fields, a signed token must have a JSON header that names an algorithm, a
+JSON payload and a signature. Base64 may be wrapped over lines. Only what parses is reported.
 
 Defined results: a null text is the empty text, which has no spans; positions are code
-points, ends exclusive; rows with repeated or null ids are scanned each for itself; other
-columns are not read. All work is per row, so no key can be hot.
+points, ends exclusive; an empty table gives no rows; rows with repeated or null ids are
+scanned each for itself; other columns, whatever their names, are not read. All work is per
+row, so no key can be hot.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Lines of base64 of one key without armour.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{60,80}+\r?\n)++[A-Za-z0-9+/]{1,80}+={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,}|ew[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 Span = tuple[int, int, str]
@@ -59,28 +62,93 @@ def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
+def _fields(data: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, contents) of the elements that fill the bytes exactly; none where they do not, or where there are none or over 16."""
+    found, at = [], 0
+    while at < len(data):
+        field = _element(data, at, len(data))
+        if not field or len(found) > 16:
+            return None
+        found.append((field[0], data[field[1] : field[2]]))
+        at = field[2]
+    return found or None
+
+
+def _identifier(data: bytes) -> str | None:
+    """The dotted form of an object identifier; none where a number in it is cut off or padded."""
+    if not data or data[-1] & 128:
+        return None
+    numbers, now, fresh = [], 0, True
+    for byte in data:
+        if fresh and byte == 128:
+            return None
+        now, fresh = now << 7 | byte & 127, not byte & 128
+        if fresh:
+            numbers.append(now)
+            now = 0
+    first = min(numbers[0] // 40, 2)
+    return ".".join(map(str, (first, numbers[0] - 40 * first, *numbers[1:])))
+
+
+def _algorithm(data: bytes) -> tuple[str, list[tuple[int, bytes]]] | None:
+    """An algorithm's identifier and parameters, which must fill it."""
+    fields = _fields(data)
+    if not fields or fields[0][0] != 6 or len(fields) > 2:
+        return None
+    name = _identifier(fields[0][1])
+    return (name, fields[1:]) if name and name.count(".") >= 3 else None
+
+
+def _inner_key(name: str, data: bytes) -> bool:
+    """Whether the bytes are a key of the algorithm; of an unknown one, whether they are one whole element."""
+    fields = _fields(data)
+    if not fields or len(fields) != 1:
+        return False
+    tag, content = fields[0]
+    if name == _RSA:
+        return tag == 0x30 and _plain_key(data)
+    if name == _CURVE:
+        return tag == 0x30 and _curve_key(_fields(content))
+    if name.startswith(_EDWARDS):
+        return tag == 4 and len(content) in (32, 56, 57)
+    return tag == 2 and len(content) >= 16 if name in _NUMBERS else tag in (2, 4, 0x30) and len(content) >= 16
+
+
+def _curve_key(fields: list[tuple[int, bytes]] | None) -> bool:
+    return bool(fields) and [t for t, _ in fields[:2]] == [2, 4] and fields[0][1] == b"\1" and 16 <= len(fields[1][1]) <= 80 and all(t in (0xA0, 0xA1) and _fields(c) for t, c in fields[2:])
+
+
+def _plain_key(data: bytes) -> bool:
+    """RSA or DSA: a version and then five or eight numbers, none padded."""
+    outer = _fields(data)
+    fields = _fields(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not fields or len(fields) not in (6, 9) or any(t != 2 or not c for t, c in fields):
+        return False
+    return fields[0][1] == b"\0" and len(fields[1][1]) >= 32
+
+
+# Fixed identifiers: RSA, elliptic curves, the Edwards and Montgomery curves, DSA and Diffie-Hellman, password-based encryption.
+_RSA, _CURVE, _EDWARDS = "1.2.840.113549.1.1.1", "1.2.840.10045.2.1", "1.3.101.11"
+_NUMBERS = ("1.2.840.10040.4.1", "1.2.840.113549.1.3.1", "1.2.840.10046.2.1")
+_PASSWORD = ("1.2.840.113549.1.5.", "1.2.840.113549.1.12.1.")
+
+
 def der_key(data: bytes) -> bool:
     """Whether the bytes are one DER private key, every length nested exactly in the one around it."""
-    outer = _element(data, 0, len(data))
-    if not outer or outer[0] != 0x30 or outer[2] != len(data):
+    outer = _fields(data)
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
-    fields, at = [], outer[1]
-    while at < outer[2]:
-        field = _element(data, at, outer[2])
-        if not field or len(fields) > 16:
-            return False
-        fields.append(field)
-        at = field[2]
-    tags = [f[0] for f in fields]
-    content = [data[a:b] for _, a, b in fields]
-    algorithm = lambda k: data[fields[k][1] : fields[k][1] + 1] == b"\x06"
-    if tags[:3] == [2, 0x30, 4] and content[0] in (b"\0", b"\1") and algorithm(1):
-        return True  # PKCS #8
-    if tags == [0x30, 4] and algorithm(0):
-        return True  # encrypted PKCS #8
-    if len(tags) in (6, 9) and set(tags) == {2} and content[0] == b"\0" and len(content[1]) >= 32:
-        return True  # DSA or RSA
-    return tags[:2] == [2, 4] and content[0] == b"\1" and 16 <= len(content[1]) <= 80  # elliptic curve
+    fields = _fields(outer[0][1])
+    if not fields:
+        return False
+    tags = [t for t, _ in fields]
+    if tags[:3] == [2, 0x30, 4] and fields[0][1] in (b"\0", b"\1"):  # PKCS #8, perhaps with attributes
+        algorithm = _algorithm(fields[1][1])
+        return bool(algorithm) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]) and _inner_key(algorithm[0], fields[2][1])
+    if tags == [0x30, 4]:  # the same, encrypted: whole blocks of a cipher
+        algorithm = _algorithm(fields[0][1])
+        return bool(algorithm) and algorithm[0].startswith(_PASSWORD) and bool(algorithm[1]) and len(fields[1][1]) >= 16 and len(fields[1][1]) % 8 == 0
+    return _plain_key(data) or _curve_key(fields)
 
 
 def ssh_key(data: bytes) -> bool:
@@ -151,12 +219,17 @@ def confirmed_spans(text: str) -> list[Span]:
                 found.append((m.start(), m.end(), "der"))
             elif data and ssh_key(data):
                 found.append((m.start(), m.end(), "ssh"))
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        data = _base64("".join(m[0].split()))
+        if data and data[:1] == b"0" and der_key(data):
+            found.append((m.start(), m.end(), "der"))
+        elif data and ssh_key(data):
+            found.append((m.start(), m.end(), "ssh"))
     if "." in text and ("ey" in text or "ew" in text):
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
     return found
 
 
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): every row's spans (kind, start, end) by start, then kind."""
     bounded_batches(docs.sparkSession)
