@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    A folder of this machine would not do on a cluster, so a session without the setting is an error.
+    A folder of this machine would not do on a cluster: there a session without the setting is
+    an error. Only a session that is one machine alone gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        found = tempfile.mkdtemp(prefix="rillstone-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
