@@ -12,7 +12,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back, where a plan would otherwise compute it several times over."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:  # one machine alone
         folder = tempfile.mkdtemp(prefix="rillstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

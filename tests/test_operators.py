@@ -1,6 +1,8 @@
 """The library's operators on small hand-made tables: tie-breaks, edges and folds."""
 
 import importlib
+import math
+import random
 import re
 import subprocess
 import sys
@@ -97,8 +99,29 @@ def test_bm25_fill_repeats_and_ties(spark):
     asked = spark.createDataFrame([(1, "a a b")], "query_id long, text string")
     got = bm25.topk(docs, asked, 5).orderBy("rank").collect()
     assert [r.doc_id for r in got][3:] == [0, 3] and got[3].score == 0.0
-    once, twice = ({r.doc_id: r.score for r in bm25.scores(docs, asked, repeats=x).collect()} for x in (False, True))
-    assert twice[2] == pytest.approx(2 * once[2])
+    once, twice = ({r.doc_id: r.score for r in bm25.topk(docs, asked, fill=False, repeats=x).collect()} for x in (False, True))
+    assert twice[2] == pytest.approx(2 * once[2]) and set(once) == {1, 2, 4}
+    assert bm25.topk(docs.where("doc_id < 0"), asked, 5).count() == 0
+
+
+def test_bm25_in_blocks_agrees_with_a_plain_sum(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    docs = [(k, " ".join(rng.choices(words, k=rng.randrange(40)))) for k in range(300)]
+    asked = [(q, " ".join(rng.choices([*words, "none"], k=5))) for q in range(12)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    mean, want = sum(len(t.split()) for _, t in docs) / 300, []
+    for q, text in asked:
+        score = {}
+        for term in set(text.split()):
+            df = sum(term in t.split() for _, t in docs)
+            for d, t in docs:
+                if tf := t.split().count(term):
+                    score[d] = score.get(d, 0.0) + math.log(1 + (300 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t.split()) / mean))
+        want += [(q, d) for d, _ in sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:4]]
+    for block in (2048, 5):
+        monkeypatch.setattr(bm25, "QUERIES", block)
+        assert [(r.query_id, r.doc_id) for r in bm25.topk(*frames, 4, fill=False).orderBy("query_id", "rank").collect()] == want
 
 
 def test_dense_blocks_agree_with_one_block(spark):
