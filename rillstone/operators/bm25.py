@@ -32,6 +32,13 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where fewer files than cores hold them: a small file is often one row group, which one task reads alone."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    few = len(docs.inputFiles()) < cores and docs.rdd.getNumPartitions() < 2 * cores
+    return docs.repartition(cores) if few else docs
+
+
 def idf(df: Column, n: Column) -> Column:
     return F.log(F.lit(1.0) + (n.cast("double") - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
@@ -120,6 +127,7 @@ def matching(docs: DataFrame, queries: DataFrame, k: int, repeats: bool = False,
     spark = docs.sparkSession
     each = queries.select("query_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     each = materialise(each, "asked-terms")
+    docs = spread(docs.select("doc_id", "text"))
     most = each.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
     blocks = max(1, -(-(most[0] or 0) // QUERIES), -(-(most[1] or 0) // TERMS))
     found = spark.createDataFrame([], "query_id long, doc_id long, score double")

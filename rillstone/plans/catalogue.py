@@ -601,14 +601,14 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-    d AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'knowledge' WHEN 'assistant' THEN 'clarify' ELSE 'unknown' END AS route, turn % 2 = 0 AS flag, CASE WHEN turn % 3 = 0 THEN '' ELSE 'r' END AS reason, CASE WHEN role = 'assistant' THEN text END AS question, CASE WHEN role = 'user' THEN text END AS q FROM c)
-    SELECT conv_id, turn, CASE WHEN route = 'unknown' THEN 'unknown_route' WHEN flag <> (route = 'clarify') THEN 'flag_mismatch' WHEN reason = '' THEN 'reason_missing' WHEN route = 'clarify' AND trim(question) = '' THEN 'question_missing' WHEN route = 'knowledge' AND trim(q) = '' THEN 'query_missing' END AS violation FROM d""")
+    d AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'rag' WHEN 'assistant' THEN 'clarify' ELSE 'unknown' END AS route, turn % 2 = 0 AS flag, CASE WHEN turn % 3 = 0 THEN '' ELSE 'r' END AS reason, CASE WHEN role = 'assistant' THEN text END AS question, CASE WHEN role = 'user' THEN text END AS q FROM c)
+    SELECT conv_id, turn, CASE WHEN route = 'unknown' THEN 'route_unknown' WHEN flag <> (route = 'clarify') THEN 'flag_mismatch' WHEN reason = '' THEN 'reason_missing' WHEN route = 'clarify' AND trim(question) = '' THEN 'clarification_question_missing' WHEN route = 'rag' AND trim(q) = '' THEN 'retrieval_query_missing' END AS violation FROM d""")
 def route_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions made from messages: by role a route, by turn a flag and a reason."""
     text = F.coalesce("text", F.lit(""))
     none = F.lit(None).cast("string")
     rows = read(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.when(F.col("role") == "user", "knowledge").when(F.col("role") == "assistant", "clarify").otherwise("unknown").alias("route"), F.lit("answer").alias("action"), (F.col("turn") % 2 == 0).alias("needs_clarification"),
+        "conv_id", "turn", F.when(F.col("role") == "user", "rag").when(F.col("role") == "assistant", "clarify").otherwise("unknown").alias("route"), F.lit("answer").alias("action"), (F.col("turn") % 2 == 0).alias("needs_clarification"),
         F.when(F.col("role") == "assistant", text).alias("clarification_question"), F.when(F.col("role") == "user", text).alias("retrieval_query"), none.alias("selected_skill"), F.array().cast("array<string>").alias("keywords"), none.alias("brief_path"), F.when(F.col("turn") % 3 == 0, "").otherwise("r").alias("reason"),
     )
     return rows.select("conv_id", "turn", rules.route_violation().alias("violation"))

@@ -191,21 +191,41 @@ def test_planning(spark):
 def test_sql_guard(spark):
     tables = {"brands": spark.createDataFrame([(1, "x;y -- z")], "id int, name string"), "posts": spark.createDataFrame([(1,)], "brand_id int")}
     good = ["SELECT * FROM brands", "```sql\nselect b.name from brands b join posts p on b.id = p.brand_id;\n```", "SELECT name FROM brands WHERE name = 'a;b -- from x'", "SELECT 1 UNION SELECT id FROM brands", "SELECT EXTRACT(YEAR FROM current_date()) AS y FROM brands"]
-    bad = ["", "DELETE FROM brands", "SELECT 1; SELECT 2", "SELECT 1 -- x", "SELECT * FROM secrets", "SELECT * FROM brands, secrets", "SELECT * FROM other.brands", "SELECT REPLACE(name, 'a', 'b') FROM brands", "SELECT ("]
+    bad = ["", "DELETE FROM brands", "SELECT 1; SELECT 2", "SELECT 1 -- x", "SELECT * FROM secrets", "SELECT * FROM brands, secrets", "SELECT * FROM other.brands", "SELECT REPLACE(name, 'a', 'b') FROM brands", "SELECT (", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM brands", "SELECT id FROM brands WHERE id IN (SELECT id FROM secrets)", "SELECT TRANSFORM(name) USING 'cat' AS x FROM brands", "SELECT * FROM range(3)", "SELECT * FROM parquet.`/etc`", "SELECT (SELECT max(java_method('a', 'b')) FROM brands)"]
+    good += ["SELECT a.id FROM (SELECT id FROM brands) a WHERE EXISTS (SELECT 1 FROM posts WHERE brand_id = a.id)", "SELECT id, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM brands ORDER BY id LIMIT 3 OFFSET 0", "SELECT name, count(*) FROM brands GROUP BY name HAVING count(*) > 0"]
     for sql in good:
         sqlguard.run(spark, sql, tables).collect()
     for sql in bad:
         with pytest.raises(sqlguard.RejectedSql):
             sqlguard.checked(spark, sql, set(tables))
-    assert sqlguard.envelope(spark, "q", good[0], tables)["row_count"] == 1
+    found = sqlguard.envelope(spark, "q", good[0], tables)
+    assert found["row_count"] == 1 and found["rows"].first().row == '{"id":1,"name":"x;y -- z"}'
 
 
 def test_rules(spark):
-    row = ("knowledge", "answer", False, None, "q", None, [], None, "r")
-    cases = {None: row, "unknown_route": ("x", *row[1:]), "flag_mismatch": (*row[:2], True, *row[3:]), "query_missing": (*row[:4], " ", *row[5:]), "plain_with_keywords": (*row[:6], ["k"], *row[7:]), "collect_without_brief": ("index", "collect", False, None, "q", None, ["k"], None, "r"), "report_without_skill": ("report", "generate_report", False, None, "q", None, [], "p", "r")}
-    got = spark.createDataFrame(list(cases.values()), rules.ROUTE_FIELDS).select(rules.route_violation().alias("v")).collect()
-    assert [r.v for r in got] == list(cases)
+    row = ("rag", "answer", False, None, "q", None, [], None, "r")
+    report = ("report", "generate_report", False, None, "q", rules.REPORT_SKILL, ["k"], "p", "r")
+    index = ("douyin", "collect", False, None, "q", None, ["k"], "p", "r")
+    valid = [row, report, index, (" RAG ", None, *row[2:]), ("clarify", "answer", True, "what?", None, None, [], None, "r"), ("douyin", "answer", False, None, "q", None, ["k"], None, "r"), (*row[:6], [" "], None, "r")]
+    broken = {
+        "route_unknown": ("x", *row[1:]), "flag_missing": (*row[:2], None, *row[3:]), "flag_mismatch": (*row[:2], True, *row[3:]), "reason_missing": (*row[:8], " "), "retrieval_query_missing": (*row[:4], " ", *row[5:]), "clarification_question_unwanted": (*row[:3], "?", *row[4:]),
+        "skill_unknown": (*row[:5], "other", *row[6:]), "skill_mismatch": (*report[:5], None, *report[6:]), "action_unfit": ("rag", "collect", *row[2:]), "keywords_unwanted": (*row[:6], ["k"], *row[7:]), "brief_missing": (*index[:7], " ", "r"), "brief_unwanted": (*row[:7], "p", "r"),
+        "index_without_input": ("douyin", "answer", False, None, "q", None, [], None, "r"), "clarification_question_missing": ("clarify", "answer", True, "", None, None, [], None, "r"), "retrieval_query_unwanted": ("clarify", "answer", True, "?", "q", None, [], None, "r"),
+    }
+    got = spark.createDataFrame([*valid, *broken.values()], rules.ROUTE_FIELDS).select(rules.route_violation(("known",)).alias("v")).collect()
+    assert [r.v for r in got] == [None] * len(valid) + list(broken)
+    checks = {None: (True, "Answer ", [" a ", "", "a"], [], " r "), "action_mismatch": (True, "web", [], [], "r"), "action_unknown": (False, "stop", [], [], "r"), "flag_missing": (None, "answer", [], [], "r"), "reason_missing": (False, "answer_insufficient", [], [], "")}
+    rows = spark.createDataFrame(list(checks.values()), rules.CHECK_FIELDS).select(rules.sufficiency_violation().alias("v"), rules.normalised_check().alias("n")).collect()
+    assert [r.v for r in rows] == list(checks)
+    assert rows[0].n.answerable_aspects == ["a"] and not rows[0].n.used_fallback and rows[1].n.next_action == "answer_insufficient" and rows[1].n.used_fallback
+    assert one(spark, lambda a, b: rules.tools_left(a, F.array(b)), "rag_and_web", "web_search") == ["search_knowledge_base"] and one(spark, lambda a: rules.tools_left(a, F.lit(None).cast("array<string>")), "none") == []
+    assert one(spark, rules.fallback_route, "q", "e").retrieval_query == "q" and one(spark, rules.tool_query, "q", " ") == "q"
+    assert one(spark, lambda a: rules.insufficient_reply(F.array(a), F.array().cast("array<string>"), "no", "has: ", "lacks: "), "x") == "no\nhas: x"
     assert one(spark, lambda o, a, b: rules.distinct_queries(o, F.array(a, b)), "Q one", "q two", "Q-Two!") is False
+    evidence = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "query_id long, rank int, source string")
+    asked = spark.createDataFrame([(1, "q", "r"), (2, "q2", None)], "query_id long, original_query string, retrieval_query string")
+    found = {r.query_id: r for r in rules.search_envelope(evidence, asked).collect()}
+    assert [x.source for x in found[1].evidence] == ["a", "b"] and found[2].retrieval_query == "q2" and found[2].evidence is None
 
 
 def test_sources_round_trip(spark, tmp_path):
