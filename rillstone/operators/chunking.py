@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -115,21 +116,41 @@ def windows(text: str, size: int) -> list[str]:
     return [w for k in range(0, len(tokens), size) if (w := "".join(tokens[k : k + size]).strip())]
 
 
+class Lengths:
+    """Token totals of texts in a row, of which any run may be joined with so many tokens between neighbours."""
+
+    def __init__(self, texts: list[str], between: int) -> None:
+        self.between, self.totals = between, [0, *accumulate(token_count(t) + between for t in texts)]
+
+    def __call__(self, start: int, end: int) -> int:
+        return self.totals[end] - self.totals[start] - self.between if end > start else 0
+
+    def reach(self, start: int, room: int) -> int:
+        """The end of the longest run from start that fits; start itself where not even one text does."""
+        return bisect_right(self.totals, self.totals[start] + room + self.between) - 1
+
+    def filled(self, room: int, start: int = 0) -> list[tuple[int, int]]:
+        """Runs that each take as many texts as fit, and one at least."""
+        runs, end = [], len(self.totals) - 1
+        while start < end:
+            runs.append((start, max(start + 1, self.reach(start, room))))
+            start = runs[-1][1]
+        return runs
+
+
 def table_parts(text: str, most: int) -> list[tuple[str, str]]:
-    """A table beyond the limit: parts under the repeated two header lines; a row beyond it alone falls to token windows."""
-    rows = text.splitlines()
-    head, body = (rows[:2], rows[2:]) if len(rows) >= 2 else ([], rows)
-    parts: list[tuple[str, str]] = []
-    held: list[str] = []
-    for row in body:
-        if token_count("\n".join([*head, *held, row])) <= most:
-            held.append(row)
-        elif held:
-            parts.append(("table_split", "\n".join([*head, *held])))
-            held = [row]
-        else:
-            parts += [("table_token_fallback", w) for w in windows(row, most)]
-    return parts + ([("table_split", "\n".join([*head, *held]))] if held else [])
+    """A table beyond the limit as parts under its repeated first two lines.
+
+    Rows at the top that do not even fit alone are cut into token windows without these
+    lines; a later one makes a part of its own.
+    """
+    lines = text.splitlines()
+    cut = 2 if len(lines) > 1 else 0
+    head, rows = "".join(f"{line}\n" for line in lines[:cut]), lines[cut:]
+    lengths, room = Lengths(rows, 1), most - token_count(head)
+    first = next((k for k in range(len(rows)) if lengths(k, k + 1) <= room), len(rows))
+    whole = [("table_token_fallback", w) for row in rows[:first] for w in windows(row, most)]
+    return whole + [("table_split", head + "\n".join(rows[a:b])) for a, b in lengths.filled(room, first)]
 
 
 Distance = Callable[[str, str], float]
@@ -142,54 +163,73 @@ def lexical_distance(a: str, b: str) -> float:
     return 1.0 - (sum(n * y[w] for w, n in x.items()) / norm if norm else 0.0)
 
 
-def sized_units(rows: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
+def best_cut(runs: Lengths, gaps: list[float | None], start: int, end: int, least: int, by_gap: bool = False) -> int:
+    """The boundary inside a run with the widest gap and enough tokens on both sides, the first of such.
+
+    Else one with enough on its left: by_gap that of the widest gap, otherwise the last; else the one before the end.
+    """
+    inner = range(start + 1, end)
+    wide = [k for k in inner if runs(start, k) >= least]
+    fair = [k for k in wide if gaps[k - 1] is not None and runs(k, end) >= least]
+    widest = lambda places: max(places, key=lambda k: (gaps[k - 1], -k))
+    if fair:
+        return widest(fair)
+    if wide:
+        return widest(wide) if by_gap else wide[-1]
+    return max(start + 1, end - 1)
+
+
+def cut_runs(runs: Lengths, gaps: list[float | None], room: int, least: int, by_gap: bool = False) -> list[tuple[int, int]]:
+    """Runs of all texts: each grows to the limit and then ends at its best cut; the rest is the last."""
+    found, start, size = [], 0, len(runs.totals) - 1
+    while start < size:
+        end = runs.reach(start, room)
+        if end < size:
+            end = best_cut(runs, gaps, start, end, least, by_gap)
+        found.append((start, end))
+        start = end
+    return found
+
+
+def sentence_groups(parts: list[str], most: int, least: int, distance: Distance) -> list[tuple[str, str]]:
+    """The sentences of a long paragraph in groups that end where neighbours differ most."""
+    gaps = [distance(a, b) for a, b in pairwise(parts)]
+    return [("semantic_sentence_group", text) for a, b in cut_runs(Lengths(parts, 0), gaps, most, least, by_gap=True) if (text := "".join(parts[a:b]).strip())]
+
+
+def sized_units(rows: list[tuple[str, str]], most: int, least: int = MIN_TOKENS, distance: Distance = lexical_distance) -> list[tuple[str, str]]:
+    """Units within the limit: long tables in parts, long paragraphs by sentences, a single long sentence in token windows."""
     out: list[tuple[str, str]] = []
     for kind, text in rows:
+        parts = split_sentences(text) if kind != "table" else []
         if token_count(text) <= most:
             out.append((kind, text))
         elif kind == "table":
             out += table_parts(text, most)
+        elif len(parts) > 1:
+            out += sentence_groups(parts, most, least, distance)
         else:
             out += [("token_fallback", w) for w in windows(text, most)]
     return out
 
 
-def cut_at(sizes: list[int], distances: list[float | None], start: int, end: int, least: int) -> int:
-    """The farthest boundary with both sides long enough; else the last with a long enough left side; else just before the end.
+def split_sentences(text: str) -> list[str]:
+    return [s for x in _SENTENCE.split(text) if (s := x.strip())]
 
-    sizes: running totals of the units' tokens; units are joined by two line breaks, a token each.
-    """
-    tokens = lambda a, b: sizes[b] - sizes[a] + 2 * (b - a - 1)
-    good = [(-d, k) for k in range(start + 1, end) if (d := distances[k - 1]) is not None and tokens(start, k) >= least and tokens(k, end) >= least]
-    if good:
-        return min(good)[1]
-    return next((k for k in range(end - 1, start, -1) if tokens(start, k) >= least), max(start + 1, end - 1))
+
+def _chunk(number: int, name: str, kinds: list[str], gap: float | None, body: str) -> tuple:
+    text = f"Section: {name}\n\n{body}".strip()
+    return number, name, token_count(text), sorted(set(kinds)), gap, text
 
 
 def fold(name: str, rows: list[tuple[str, str]], most: int = MAX_TOKENS, least: int = MIN_TOKENS, distance: Distance = lexical_distance) -> list[tuple]:
-    """Chunks of one section: grow while the limit allows, then cut at the best boundary."""
-    head = f"Section: {name}\n\n"
-    head_tokens = token_count(head)
-    found = sized_units(rows, max(1, most - head_tokens))
-    texts = [t for _, t in found]
-    sizes = [0, *accumulate(map(token_count, texts))]
-    gaps = [None if "table" in (found[k][0], found[k + 1][0]) else distance(texts[k], texts[k + 1]) for k in range(len(found) - 1)]
-    chunks, start, end = [], 0, 1
-
-    def emit(a: int, b: int, gap: float | None) -> None:
-        text = (head + "\n\n".join(texts[a:b]).strip()).strip()
-        chunks.append((len(chunks), name, token_count(text), sorted({k for k, _ in found[a:b]}), gap, text))
-
-    while end <= len(found):
-        if head_tokens + sizes[end] - sizes[start] + 2 * (end - start - 1) <= most:
-            end += 1
-            continue
-        cut = cut_at(sizes, gaps, start, end - 1, least)
-        emit(start, cut, gaps[cut - 1] if cut - 1 < len(gaps) else None)
-        start, end = cut, cut + 1
-    if start < len(found):
-        emit(start, len(found), None)
-    return chunks
+    """Chunks of one section: runs of units within the limit that end where neighbouring units differ most."""
+    room = max(1, most - token_count(f"Section: {name}\n\n"))
+    found = sized_units(rows, room, least, distance)
+    kinds, texts = [k for k, _ in found], [t for _, t in found]
+    gaps = [None if "table" in (kinds[k], kinds[k + 1]) else distance(texts[k], texts[k + 1]) for k in range(len(found) - 1)]
+    runs = cut_runs(Lengths(texts, 2), gaps, room, least)
+    return [_chunk(n, name, kinds[a:b], gaps[b - 1] if b < len(found) else None, "\n\n".join(texts[a:b]).strip()) for n, (a, b) in enumerate(runs)]
 
 
 def semantic_chunks(found: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS) -> DataFrame:
@@ -205,43 +245,30 @@ def semantic_chunks(found: DataFrame, most: int = MAX_TOKENS, least: int = MIN_T
     return found.groupBy("doc_id", "section_no").applyInPandas(run, CHUNK).withColumn("chunk_index", F.row_number().over(order) - 1)
 
 
+def _sentence_runs(text: str, room: int) -> list[tuple[str, str]]:
+    """A long paragraph's sentences, those beyond the limit in token windows, packed while they fit."""
+    parts = [p for s in split_sentences(text) for p in ([s] if token_count(s) <= room else windows(s, room))]
+    return [("sentence_group", " ".join(parts[a:b])) for a, b in Lengths(parts, 1).filled(room)]
+
+
 def packed_blocks(name: str, rows: list[tuple[str, str]], most: int = 400, least: int = 120) -> list[tuple]:
-    """Structure-aware packing: blocks while they fit, sentences of long ones packed, small neighbours merged."""
-    head = f"Section: {name}\n\n"
-    room = max(1, most - token_count(head))
+    """Structure-aware packing: blocks while they fit (measured with one line break between them), sentences of long ones packed, small neighbours without tables merged."""
+    head = token_count(f"Section: {name}\n\n")
+    room = max(1, most - head)
     pieces: list[tuple[str, str]] = []
     for kind, text in rows:
-        if token_count(text) <= room:
-            pieces.append((kind, text))
-        elif kind == "table":
-            pieces += table_parts(text, room)
-        else:
-            held = ""
-            for sentence in filter(None, map(str.strip, _SENTENCE.split(text))):
-                for part in [sentence] if token_count(sentence) <= room else windows(sentence, room):
-                    joined = f"{held} {part}" if held else part
-                    if token_count(joined) <= room:
-                        held = joined
-                    else:
-                        pieces.append(("sentence_group", held))
-                        held = part
-            if held:
-                pieces.append(("sentence_group", held))
-    groups: list[list[tuple[str, str]]] = []
-    for piece in pieces:
-        if groups and token_count(head + "\n".join([*(t for _, t in groups[-1]), piece[1]])) <= most:
-            groups[-1].append(piece)
-        else:
-            groups.append([piece])
-    body = lambda g: "\n\n".join(t for _, t in g)
-    merged: list[list[tuple[str, str]]] = []
-    for g in groups:
-        small = merged and (token_count(head + body(g)) < least or token_count(head + body(merged[-1])) < least)
-        if small and not any(k == "table" for k, _ in [*merged[-1], *g]) and token_count(head + body([*merged[-1], *g])) <= most:
-            merged[-1] = [*merged[-1], *g]
+        pieces += [(kind, text)] if token_count(text) <= room else table_parts(text, room) if kind == "table" else _sentence_runs(text, room)
+    texts, kinds = [t for _, t in pieces], [k for k, _ in pieces]
+    joined = Lengths(texts, 2)
+    runs: list[tuple[int, int]] = []
+    for a, b in Lengths(texts, 1).filled(most - head):
+        start = runs[-1][0] if runs else a
+        small = bool(runs) and min(joined(*runs[-1]), joined(a, b)) + head < least
+        if small and "table" not in kinds[start:b] and head + joined(start, b) <= most:
+            runs[-1] = (start, b)
         else:
-            merged.append(g)
-    return [(k, name, token_count(text := (head + body(g)).strip()), sorted({kind for kind, _ in g}), None, text) for k, g in enumerate(merged)]
+            runs.append((a, b))
+    return [_chunk(n, name, kinds[a:b], None, "\n\n".join(texts[a:b])) for n, (a, b) in enumerate(runs)]
 
 
 def structure_chunks(found: DataFrame, most: int = 400, least: int = 120) -> DataFrame:

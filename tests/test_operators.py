@@ -86,12 +86,21 @@ def test_fold_keeps_text_and_limits(texts):
 
 
 def test_cut_and_table_rules():
-    sizes = [0, 10, 20, 30, 40]
-    assert chunking.cut_at(sizes, [0.5, 0.5, 0.1], 0, 4, 5) == 1
-    assert chunking.cut_at(sizes, [None, None, None], 0, 4, 25) == 3
-    assert chunking.cut_at(sizes, [None, None, None], 0, 4, 99) == 3
+    units = chunking.Lengths([".".join("a" * 5) + "."] * 4, 0)  # ten tokens each
+    assert [units(0, k) for k in range(5)] == [0, 10, 20, 30, 40]
+    assert chunking.best_cut(units, [0.5, 0.5, 0.1], 0, 4, 5) == 1
+    assert chunking.best_cut(units, [None, None, None], 0, 4, 25) == 3
+    assert chunking.best_cut(units, [None, None, None], 0, 4, 99) == 3
+    assert chunking.best_cut(units, [0.1, 0.9, 0.5], 0, 4, 15) == 2 and chunking.best_cut(units, [0.9, 0.1, 0.5], 0, 4, 25, by_gap=True) == 3
     parts = chunking.table_parts("|h|\n|-|\n" + "\n".join("|a b c|" for _ in range(4)) + "\n" + "|" + "x y " * 40 + "|", 30)
     assert all(t.startswith("|h|\n|-|") for k, t in parts if k == "table_split") and parts[-1][0] in ("table_token_fallback", "table_split")
+    wide = chunking.table_parts("|h|\n|-|\n" + "|" + "x y " * 40 + "|\n|a|", 30)
+    assert [k for k, _ in wide][-1] == "table_split" and wide[0][0] == "table_token_fallback" and wide[-1][1] == "|h|\n|-|\n|a|"
+    text = "One two three. Four five six. Seven eight nine. " * 6
+    groups = chunking.sized_units([("paragraph", text)], 40, 10)
+    assert {k for k, _ in groups} == {"semantic_sentence_group"} and all(chunking.token_count(t) <= 40 for _, t in groups)
+    assert "".join(t for _, t in groups) == "".join(chunking.split_sentences(text))
+    assert [k for k, _ in chunking.sized_units([("paragraph", "x " * 60)], 40)] == ["token_fallback"] * 3
 
 
 def test_bm25_fill_repeats_and_ties(spark):
