@@ -24,6 +24,12 @@ COUNT_TOKEN = r"(?U)[\x{4e00}-\x{9fff}]|[A-Za-z0-9_]+|[^\S\r\n]+|\n|[^\w\s]"
 PARSER_LINES = ("Source: ", "Raw output directory: ", "## Source file: ")
 PARSER_TITLE = "# Cleaned Magic-PDF / MinerU Text"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+PERIOD = r"(\d{4}-\d{2}-\d{2})\s*~\s*(\d{4}-\d{2}-\d{2})"
+SUMMARY = r"同比\s*([+\-]?\d+(?:\.\d+)?%)\s*[｜|]\s*环比\s*([+\-]?\d+(?:\.\d+)?%)\s*平均值\s*([\d.]+万?)"
+PROVINCE = r"(?:^|\n)\s*(\d{1,2})\s+([\x{4e00}-\x{9fff}]{2,6})\s+([\d.]+)%\s+([\d.]+)"
+GENDER = r"(男性|女性)\s*\n?\s*占比\s*(\d+(?:\.\d+)?)%\s*TGI\s*(\d+(?:\.\d+)?)"
+ASCII_TOKEN = r"[A-Za-z0-9_./:%+-]+"
+TAB_KEYS = ("keyword", "tab", "status", "source_url", "data_periods", "collected_at", "index_summaries", "has_data", "summary", "ranking_by_relevance", "ranking_by_growth", "provinces", "gender", "age_summary", "interest_summary", "message", "reason")
 
 
 def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -33,7 +39,8 @@ def replaced(text: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # Possessive, and never from inside a run of blanks, so that long runs are passed once.
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def lines(text: Column) -> Column:
@@ -223,12 +230,12 @@ def context_tokens(text: Column, safety: float = 1.2) -> Column:
 
 
 def date_periods(text: Column) -> Column:
-    pattern = F.lit(r"(\d{4}-\d{2}-\d{2})\s*~\s*(\d{4}-\d{2}-\d{2})")
+    pattern = F.lit(PERIOD)
     return F.array_distinct(F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("start"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("end")))
 
 
 def index_summaries(text: Column) -> Column:
-    pattern = F.lit(r"同比\s*([+\-]?\d+(?:\.\d+)?%)\s*[｜|]\s*环比\s*([+\-]?\d+(?:\.\d+)?%)\s*平均值\s*([\d.]+万?)")
+    pattern = F.lit(SUMMARY)
     names = ("year_on_year", "month_on_month", "average")
     return F.array_distinct(F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k + 1)).alias(n) for k, n in enumerate(names)]))
 
@@ -256,14 +263,14 @@ def relevance_ranking(text: Column, marker: str = "按涨幅", most: int = 20) -
 
 
 def provinces(text: Column) -> Column:
-    pattern = F.lit(r"(?:^|\n)\s*(\d{1,2})\s+([\x{4e00}-\x{9fff}]{2,6})\s+([\d.]+)%\s+([\d.]+)")
+    pattern = F.lit(PROVINCE)
     part = lambda k: F.regexp_extract_all(text, pattern, F.lit(k))
     zipped = F.arrays_zip(part(1).alias("r"), part(2).alias("p"), part(3).alias("s"), part(4).alias("t"))
     return F.transform(zipped, lambda z: F.struct(z["r"].cast("int").alias("rank"), z["p"].alias("province"), z["s"].try_cast("double").alias("share_percent"), z["t"].try_cast("double").alias("tgi")))
 
 
 def genders(text: Column) -> Column:
-    pattern = F.lit(r"(男性|女性)\s*\n?\s*占比\s*(\d+(?:\.\d+)?)%\s*TGI\s*(\d+(?:\.\d+)?)")
+    pattern = F.lit(GENDER)
     part = lambda k: F.regexp_extract_all(text, pattern, F.lit(k))
     return F.transform(F.arrays_zip(part(1).alias("g"), part(2).alias("s"), part(3).alias("t")), lambda z: F.struct(z["g"].alias("gender"), z["s"].cast("double").alias("share_percent"), z["t"].cast("double").alias("tgi")))
 
@@ -281,3 +288,61 @@ def front_matter(text: Column) -> Column:
     block = F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
     return F.map_from_entries(F.transform(pairs, lambda x: F.struct(stripped(F.substring_index(x, ":", 1)).alias("key"), stripped(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"))))
+
+
+# -- records -----------------------------------------------------------------------------------
+
+
+def media_blocks(blocks: Column) -> Column:
+    """Of layout blocks (label, ...) those that are tables, charts or images."""
+    return F.filter(blocks, lambda b: F.lower(b["label"]).isin("table", "chart", "image"))
+
+
+def layout_markdown(blocks: Column) -> Column:
+    """Layout blocks (label, text, bbox) as Markdown sections with their numbers, labels and boxes, blocks without text left out."""
+    shown = F.filter(F.transform(blocks, lambda b, k: F.struct((k + 1).alias("n"), b.alias("b"))), lambda x: stripped(F.coalesce(x["b"]["text"], F.lit(""))) != "")
+    return F.array_join(F.transform(shown, lambda x: F.concat(F.lit("## Block "), x["n"].cast("string"), F.lit(" ("), x["b"]["label"], F.lit(")"), F.coalesce(F.concat(F.lit(" bbox="), F.array_join(x["b"]["bbox"].cast("array<string>"), ",")), F.lit("")), F.lit("\n\n"), stripped(x["b"]["text"]))), "\n\n")
+
+
+def parts_joined(parts: Column) -> Column:
+    """Parts (name, text) under headings of their names, blank ones left out."""
+    kept = F.filter(parts, lambda p: stripped(F.coalesce(p["text"], F.lit(""))) != "")
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.lit("## "), p["name"], F.lit("\n\n"), stripped(p["text"]))), "\n\n")
+
+
+def ideographs_only(text: Column) -> Column:
+    """Text without images, addresses and every word of ASCII letters and digits."""
+    return replaced(text, (r"\[[Ii]mage:[^\]]+\]", " "), (URL, " "), (ASCII_TOKEN, " "))
+
+
+def compact_record(record: Column, screenshot: Column | None = None, keys: tuple[str, ...] = TAB_KEYS) -> Column:
+    """A map with the wanted keys only, and a non-empty screenshot's path."""
+    kept = F.map_filter(record, lambda k, v: k.isin(*keys))
+    if screenshot is None:
+        return kept
+    return F.when(F.coalesce(screenshot, F.lit("")) != "", F.map_concat(kept, F.create_map(F.lit("full_screenshot"), screenshot))).otherwise(kept)
+
+
+def json_row(frame_schema, **options: str) -> Column:  # noqa: ANN001
+    """All columns of a frame with this schema as JSON: decimals as numbers, dates and times in ISO form, nulls kept."""
+    columns = [F.col(f"`{f.name}`").cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f"`{f.name}`") for f in frame_schema.fields]
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"} | options)
+
+
+def time_text(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
+
+
+def cell(value: Column) -> Column:
+    """A spreadsheet cell as text without blanks around it; null is the empty text."""
+    return stripped(F.coalesce(value.cast("string"), F.lit("")))
+
+
+def periods_text(text: Column) -> Column:
+    return F.transform(date_periods(text), lambda p: F.concat(p["start"], F.lit(" ~ "), p["end"]))
+
+
+def summary_after(text: Column, marker: str, most: int = 300) -> Column:
+    """The text after the last marker up to the next blank line, at most so long; null where the marker is not there."""
+    rest = F.substring(stripped(F.split(F.substring_index(text, marker, -1), r"\n\s*\n")[0]), 1, most)
+    return F.when(F.contains(text, F.lit(marker)), rest)

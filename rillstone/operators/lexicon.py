@@ -150,3 +150,50 @@ def segmenter(frequencies: dict[str, int]):  # noqa: ANN201
             yield batch.map(lambda tokens: None if tokens is None else [p for t in tokens for p in (cut(t) if "一" <= t[:1] <= "鿿" else [t])])
 
     return segmented
+
+
+# -- phrases of titles and sections, and the simple score ------------------------------------------
+
+# What separates phrases, and the bonuses of sources.
+PHRASE_BREAK = r"[，。！？；：、（）()《》“”‘’/|\s]+"
+CJK_PHRASE = r"[\x{4e00}-\x{9fff}]{2,}"
+LATIN_PHRASE = r"[A-Za-z]{2,}"
+LONGEST_PHRASE = 12
+SOURCE_BONUS = (("evaluation_keyword", 100), ("expected_section", 60), ("markdown_heading", 45), ("markdown_heading_phrase", 25))
+
+
+def metadata_phrases(titles: DataFrame, phrase: str = CJK_PHRASE) -> DataFrame:
+    """(term, sources, documents): phrases of titles and sections (value, source, document), years, extensions and marks removed."""
+    value = T.replaced(F.col("value"), (r"\d{4}年?", " "), (r"(?i)\.(?:pdf|md)$", ""), (r"[*_#]+", " "))
+    parts = titles.select("source", "document", F.explode(F.split(value, PHRASE_BREAK)).alias("part"))
+    runs_ = parts.select("source", "document", F.explode(F.regexp_extract_all("part", F.lit(phrase), F.lit(0))).alias("term")).where(F.length("term") <= LONGEST_PHRASE)
+    return runs_.groupBy("term").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("document").alias("documents"))
+
+
+def simple_grams(docs: DataFrame, pattern: str = LATIN_RUN, least: int = 2, most: int = MAX_LENGTH, times: int = 2) -> DataFrame:
+    """(term, frequency): n-grams of runs without neighbours, from so many occurrences on; one character repeated is no term."""
+    found = counts(grams(runs(docs, pattern), most).where(F.length("term") >= least))
+    return found.where((F.col("frequency") >= times) & (F.size(F.array_distinct(F.split("term", ""))) > 1))
+
+
+def simple_score(term: Column, sources: Column, frequency: Column) -> Column:
+    """Frequency, a bonus for each source, and 5 for terms of 3 to 6 characters."""
+    score_ = frequency + F.when(F.length(term).between(3, 6), 5).otherwise(0)
+    for source, bonus in SOURCE_BONUS:
+        score_ = score_ + F.when(F.array_contains(sources, source), bonus).otherwise(0)
+    return score_
+
+
+def merged_sources(*found: DataFrame) -> DataFrame:
+    """(term, sources): the union of the sources of each term over several tables (term, source)."""
+    rows = found[0]
+    for other in found[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("term").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def segmentation_changes(terms: DataFrame, before: dict[str, int], after: dict[str, int]) -> DataFrame:
+    """(term, default_tokens, custom_tokens, changed, whole): how two dictionaries cut each term; every term of a dictionary should come out whole."""
+    cut = lambda words: segmenter(words)(F.array("term"))
+    rows = terms.select("term", cut(before).alias("default_tokens"), cut(after).alias("custom_tokens"))
+    return rows.withColumn("changed", F.col("default_tokens") != F.col("custom_tokens")).withColumn("whole", F.size("custom_tokens") == 1)

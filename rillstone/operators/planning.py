@@ -88,3 +88,88 @@ def upsert(fresh: DataFrame, stored: DataFrame, keys: list[str], fields: list[st
     joined = fresh.join(old, on, "left")
     keep = lambda f: F.when(F.trim(F.coalesce(F.col(f"_old_{f}").cast("string"), F.lit(""))) != "", F.col(f"_old_{f}")).otherwise(F.col(f)).alias(f)
     return joined.select(*[keep(c) if c in fields else F.col(c) for c in fresh.columns])
+
+
+# The fields that keyword candidates come from, with label, kind, whether required, approved, priority and reason.
+CANDIDATE_FIELDS = (
+    ("brand_name", "品牌名称", "品牌", True, "yes", 1, "核心品牌词"),
+    ("brand_aliases", "品牌别名", "品牌别名", True, "yes", 1, "品牌检索别名"),
+    ("product_name", "商品名称", "商品", True, "yes", 1, "核心商品词"),
+    ("product_category", "商品类别", "商品类别", True, "yes", 1, "核心品类词"),
+    ("required_keywords", "必查关键词", "必查关键词", True, "yes", 1, "用户指定必查"),
+    ("parent_category", "上级品类", "上级品类", False, "", 2, "扩大品类覆盖"),
+    ("competitor_brands", "竞品品牌", "竞品品牌", False, "", 2, "竞品对比候选"),
+    ("competitor_products", "竞品商品", "竞品商品", False, "", 2, "竞品商品候选"),
+    ("selling_points", "核心卖点", "核心卖点", False, "", 3, "卖点趋势候选"),
+    ("ingredient_keywords", "成分关键词", "成分", False, "", 3, "成分趋势候选"),
+)
+GENERATED, NO_RESULT, FAILED = "程序生成", "没有采集结果", "采集未成功"
+
+
+def keyword_candidates(briefs: DataFrame, task_col: str = "task_name", exclude_col: str = "excluded_keywords", fields: tuple[tuple, ...] = CANDIDATE_FIELDS) -> DataFrame:
+    """keyword_plan over the candidate fields that the briefs have, with label, approval, priority and reason of the field."""
+    have = [f for f in fields if f[0] in briefs.columns]
+    plan = keyword_plan(briefs, [(f, kind, required) for f, _, kind, required, *_ in have], task_col, exclude_col if exclude_col in briefs.columns else None)
+    about = F.create_map(*[x for f, label, _, _, approved, priority, reason in have for x in (F.lit(f), F.struct(F.lit(label).alias("source_field"), F.lit(approved).alias("approved"), F.lit(priority).alias("priority"), F.lit(reason).alias("reason")))])
+    own = about[F.col("source_field")]
+    return plan.select(F.col("task").alias(task_col), "keyword", "keyword_type", own["source_field"].alias("source_field"), F.when(F.col("required"), "yes").otherwise("no").alias("required"), own["approved"].alias("approved"), own["reason"].alias("reason"), own["priority"].alias("priority"), F.lit(GENERATED).alias("notes"), "position")
+
+
+def approved_keywords(items: Column) -> Column:
+    """Keywords of items (keyword, approved) that are approved with a yes, without blanks and repeats, in their order."""
+    yes = F.filter(items, lambda x: F.lower(T.stripped(F.coalesce(x["approved"], F.lit("")))) == "yes")
+    return F.array_distinct(F.filter(F.transform(yes, lambda x: T.stripped(F.coalesce(x["keyword"], F.lit("")))), lambda k: k != ""))
+
+
+def collected_evidence(keywords: DataFrame, latest_status: DataFrame) -> DataFrame:
+    """(keyword, status, reason, tabs, failed_tabs): the newest collection of every keyword, tabs split by success.
+
+    latest_status: keyword, status, reason, tabs (map of name to a map with a status). Keywords
+    without a result, and those whose collection did not succeed, have a reason and no tabs.
+    """
+    rows = keywords.select(T.stripped(F.col("keyword")).alias("keyword")).where("keyword <> ''").distinct().join(latest_status, "keyword", "left")
+    good = F.coalesce(F.col("status").isin("success", "partial"), F.lit(False))
+    why = F.when(F.col("status").isNull(), NO_RESULT).when(~good, F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit(FAILED)))
+    ok = lambda t: F.coalesce(t["status"], F.lit("")) == "success"
+    tabs = F.map_filter("tabs", lambda name, t: ok(t))
+    lost = F.transform_values(F.map_filter("tabs", lambda name, t: ~ok(t)), lambda name, t: F.coalesce(t["error"], t["reason"], F.lit(FAILED)))
+    return rows.select("keyword", F.coalesce("status", F.lit("missing")).alias("status"), why.alias("reason"), F.when(good, tabs).alias("tabs"), F.when(good, lost).alias("failed_tabs"))
+
+
+def keyword_rollup(tabs: DataFrame, expected: int) -> DataFrame:
+    """(keyword, status, succeeded): success where as many tabs as expected succeeded, else partial."""
+    n = F.count_if(F.col("status") == "success")
+    return tabs.groupBy("keyword").agg(F.when(n == expected, "success").otherwise("partial").alias("status"), n.alias("succeeded"))
+
+
+def unreviewed(tasks: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
+    """Tasks that have no review yet; none of them may be prepared while there are any."""
+    return tasks.select(key).distinct().join(reviewed.select(key), key, "left_anti")
+
+
+def single_task(tasks: DataFrame) -> DataFrame:
+    """The one task of a brief; any other number of them is an error when it is read."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    return tasks.limit(2).withColumn("_n", n).where(F.when(F.col("_n") != 1, F.raise_error(F.lit("a brief must hold exactly one task"))).otherwise(True)).drop("_n")
+
+
+def effective_period(given: Column, brief: Column, has_brief: Column) -> Column:
+    """The period of a collection: the one given, else 30d without a brief, else the brief's; an unknown one is an error."""
+    period = F.coalesce(given, F.when(~has_brief, "30d").otherwise(brief))
+    return F.when(period.isin(*[p for p, _, _ in PERIODS]), period).otherwise(F.raise_error(F.concat(F.lit("unknown period: "), F.coalesce(period, F.lit("none")))))
+
+
+def tab_period(tab: Column, asked: Column) -> Column:
+    """The period that a tab is collected for: correlations are of 7 days whatever was asked."""
+    return F.when(tab == "correlation", "7d").otherwise(asked)
+
+
+def stable(snapshots: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """snapshots with whether a text equals the one before it."""
+    digest = F.sha1(F.col(text))
+    return snapshots.withColumn("stable", F.coalesce(digest == F.lag(digest).over(Window.partitionBy(key).orderBy(order)), F.lit(False)))
+
+
+def scroll_offsets(last: Column, step: int) -> Column:
+    """Places of captures down a page: every step, and the very end."""
+    return F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))

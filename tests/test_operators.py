@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
-from rillstone.operators import bm25, chunking, conversation, dense, fusion, lexicon, metrics, planning, rules
-from rillstone.plans import catalogue, sqlguard
+from rillstone.operators import bm25, chunking, conversation, dense, evaluation, fusion, lexicon, metrics, planning, rules
+from rillstone.plans import catalogue, evaluation_catalogue, sqlguard
 from rillstone.sources import files
 from rillstone.streaming import events
 
@@ -262,7 +262,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, events.windowed(rows).collect()))
 
 
+def test_evaluation_records_and_errors(spark):
+    text = "## Q1: what?\n### Rank 1\n- label: 2\n- reason: `yes`\n- preview: p\n### Rank 2\n- label: x\n## Q2: why?\n### Rank 1\n- label: 0\n"
+    got = evaluation.manual_annotations(spark.createDataFrame([(text,)], "text string")).orderBy("question_id", "rank").collect()
+    assert [(r.question_id, r.rank, r.label) for r in got] == [("Q1", 1, 2), ("Q1", 2, None), ("Q2", 1, 0)] and got[0].reason == "yes"
+    specs, questions = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "q")], "k long, question string")
+    with pytest.raises(Exception, match="no source question: 2"):
+        evaluation.from_specs(specs, questions, "k").collect()
+    tasks = spark.createDataFrame([("a",), ("b",)], "task string")
+    assert planning.single_task(tasks.where("task = 'a'")).count() == 1
+    with pytest.raises(Exception, match="exactly one task"):
+        planning.single_task(tasks).collect()
+    with pytest.raises(Exception, match="unknown period"):
+        tasks.select(planning.effective_period(F.lit("9d"), F.lit(None), F.lit(False))).collect()
+    assert one(spark, lambda x: planning.tab_period(x, F.lit("30d")), "correlation") == "7d"
+    with pytest.raises(ValueError, match="blank"):
+        bm25.checked_request("  ", 3)
+    with pytest.raises(ValueError, match="at least one"):
+        bm25.checked_request("q", 0)
+
+
+def test_layout_blocks_and_dictionaries(spark):
+    blocks = spark.createDataFrame([([("text", " a ", [1, 2, 3, 4]), ("table", "", None), ("Image", "b", None)],)], "b array<struct<label: string, text: string, bbox: array<int>>>")
+    row = blocks.select(T.layout_markdown(F.col("b")).alias("m"), T.media_blocks(F.col("b")).alias("k")).first()
+    assert row.m == "## Block 1 (text) bbox=1,2,3,4\n\na\n\n## Block 3 (Image)\n\nb" and [x.label for x in row.k] == ["table", "Image"]
+    assert one(spark, lambda x: T.summary_after(x, "年龄"), "性别 x 年龄 18-24 多\n\n兴趣") == "18-24 多" and one(spark, lambda x: T.summary_after(x, "年龄"), "x") is None
+    record = spark.createDataFrame([({"status": "success", "html": "x"}, "s.png"), ({"tab": "a"}, "")], "r map<string,string>, shot string")
+    assert [r.c for r in record.select(T.compact_record(F.col("r"), F.col("shot")).alias("c")).collect()] == [{"status": "success", "full_screenshot": "s.png"}, {"tab": "a"}]
+    money = spark.createDataFrame([(1, "2024-01-02")], "a int, d string").select(F.col("a").cast("decimal(10,2)"), F.col("d").cast("date"), F.lit(None).cast("string").alias("n"))
+    assert money.select(T.json_row(money.schema).alias("j")).first().j == '{"a":1.0,"d":"2024-01-02","n":null}'
+    terms = spark.createDataFrame([("北京大学",), ("大学",)], "term string")
+    got = {r.term: (r.changed, r.whole) for r in lexicon.segmentation_changes(terms, {"北京": 5, "大学": 5}, {"北京": 5, "大学": 5, "北京大学": 50}).collect()}
+    assert got == {"北京大学": (True, True), "大学": (False, True)}
+    assert one(spark, T.stripped, " \u00a0 a  b \n ") == "a  b" and one(spark, T.cell, None) == ""
+
+
 def test_catalogue_has_an_oracle_for_all_but_the_folds():
+    assert "judge_agreement" in catalogue.QUERIES and evaluation_catalogue.query is catalogue.query
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"ascii_terms", "section_blocks", "semantic_chunks", "structure_chunks"}
 
 
