@@ -38,6 +38,8 @@ from rillstone.llm.common import bounded_batches, materialise
 
 SIZE = 1024
 END_ID = 0
+#: Rounds of pricing that must save half a sequence together for more to follow.
+TAIL = 10
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 250_000
 
@@ -326,16 +328,19 @@ def padding(plan: list[tuple[dict[int, int], int]], lengths: np.ndarray, size: i
 def solve(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, gap: float = 1e-4, sequences: float = 2.0) -> list[tuple[dict[int, int], int]]:
     """Patterns with their repeats that cover the histogram exactly: column generation, then rounding.
 
-    lengths ascend. Patterns are priced until none lowers the cost or Farley's bound proves
-    it to be within the fraction gap of the linear program's optimum, or within so many
-    sequences of it, which rounding costs anyway. Best-fit decreasing packs what rounding
+    lengths ascend. Patterns are priced until none lowers the cost, or Farley's bound proves
+    it to be within the fraction gap of the linear program's optimum or within so many
+    sequences of it, which rounding costs anyway, or the last TAIL rounds together saved less
+    than half a sequence: the long tail of column generation that rounding would undo. Best-fit decreasing packs what rounding
     leaves over. It is also the fallback: the result is never worse than it alone.
     """
     if not len(lengths):
         return []
     program = LinearProgram(lengths, counts, size)
+    costs = [program.cost]
     while program.improve():
-        if program.cost - program.bound <= max(gap * program.bound, sequences * size):
+        costs.append(program.cost)
+        if program.cost - program.bound <= max(gap * program.bound, sequences * size) or len(costs) > TAIL and costs[-1 - TAIL] - costs[-1] < size / 2:
             break
     plans = []
     for up in (True, False):
