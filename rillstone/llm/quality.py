@@ -211,15 +211,15 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = feature_rows([t.as_py() or "" for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)], names=["label", *FEATURES])
+            rows = feature_rows([t.as_py() or "" for t in batch.column(3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in rows.T)], names=["id", "h", "label", *FEATURES])
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # Rows that repeat an id: of those with one text, one; of the rest, those with the smallest hashes, sample_rows in all.
-    chosen = texts.join(F.broadcast(sample), "id").select("label", "id", "text", F.xxhash64("text").alias("h")).dropDuplicates(["id", "text"])
-    chosen = chosen.orderBy("h", "id").limit(sample_rows).select("label", "text")
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    got = np.array([tuple(r) for r in chosen.mapInArrow(run, schema).collect()], float).reshape(-1, len(FEATURES) + 1)
+    chosen = texts.join(F.broadcast(sample), "id").select("id", F.xxhash64("text").alias("h"), "label", "text")
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, h long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
+    # Rows that repeat an id: of those with one text, one; of the rest, those with the smallest hashes, sample_rows in all. Texts stay where they are.
+    narrow = chosen.mapInArrow(run, schema).dropDuplicates(["id", "h"]).orderBy("h", "id").limit(sample_rows).drop("id", "h")
+    got = np.array([tuple(r) for r in narrow.collect()], float).reshape(-1, len(FEATURES) + 1)
     got = got[np.lexsort(got.T)]  # the same model whatever the order of arrival
     return fit(got[:, 1:], got[:, 0])
 
