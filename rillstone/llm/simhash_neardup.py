@@ -381,14 +381,16 @@ def links_in_cells(placed: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -
     spark = placed.sparkSession
     bounded_batches(spark, 1 << 14)
     per_cell = placed.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where(F.col("n") > cell_rows)
-    per_cell = per_cell.select("band", "cell", F.ceil(F.greatest("homes", F.col("n") - F.col("homes")) / cell_rows).cast("int").alias("parts"))
+    per_cell = per_cell.select("band", "cell", F.ceil(F.greatest("homes", F.col("n") - F.col("homes")) / cell_rows).cast("int").alias("parts"), (F.col("n") > F.col("homes")).alias("visited"))
     crowded = per_cell.orderBy(F.desc("parts"), "band", "cell").limit(CROWDED_CELLS)
     placed = placed.join(F.broadcast(crowded), ["band", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    # Task (i, j) of a crowded cell, i <= j for homes: homes of part i meet homes and visitors of part j.
+    # Task (i, j) of a crowded cell: homes of part i meet the visitors of part j and, where i <= j, its homes.
     each = F.sequence(F.lit(0), F.col("parts") - 1)
     spot = lambda i, j, home: F.struct((i.cast("long") * (1 << 31) + j.cast("long")).alias("part"), home.alias("home"))
-    spots = F.when(F.col("home"), F.transform(each, lambda k: spot(F.least(k, own), F.greatest(k, own), own <= k))).otherwise(F.transform(each, lambda k: spot(k, own, F.lit(False))))
+    among = F.transform(each, lambda k: spot(F.least(k, own), F.greatest(k, own), own <= k))
+    earlier = F.transform(F.filter(each, lambda k: (k < own) & F.col("visited")), lambda k: spot(own, k, F.lit(True)))
+    spots = F.when(F.col("home"), F.concat(among, earlier)).otherwise(F.transform(each, lambda k: spot(k, own, F.lit(False))))
     dealt = placed.select("fp", "band", "cell", F.inline(spots))
     dealt = dealt.repartition(partitions(spark), "band", "cell", "part").sortWithinPartitions("band", "cell", "part", F.desc("home"))
 

@@ -445,3 +445,14 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert {i: n for i, n in got.items()} == want
+
+
+def test_every_visitor_of_a_crowded_cell_meets_every_home(spark):
+    rng = np.random.default_rng(11)
+    # One bit of each two is set, so all homes have the same cells; a partner lacks two bits in each band and visits them.
+    homes = (np.uint64(1) << (2 * np.arange(32, dtype=np.uint64) + rng.integers(0, 2, (60, 32)).astype(np.uint64))).sum(axis=1, dtype=np.uint64)
+    partners = homes & ~np.uint64(sum(3 << at for at in (2, 20, 40, 58)))
+    prints = spark.createDataFrame([(int(x),) for x in np.concatenate([homes, partners]).view(np.int64)], "fp long")
+    want = {tuple(sorted(p)) for p in zip(homes.view(np.int64).tolist(), partners.view(np.int64).tolist(), strict=True)}
+    found = simhash_neardup.links(prints, 4, bands=2, segment_bits=2, cell_rows=8).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == want
