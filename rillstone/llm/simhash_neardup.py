@@ -9,7 +9,8 @@ join over it brings each fingerprint to its own cell and, in one direction, to t
 within the band's radius. Candidates in a cell are verified on all 64 bits.
 
 Fingerprints may have several words: the grid then holds every word, each in bands of its
-own, and the verification compares all bits.
+own, and the verification compares all bits. Where a similarity asks for a radius that is a
+large share of the bits, only own cells are visited, in as many bands as such pairs need.
 
 Only distinct fingerprints are joined, so a group of copies is a single point. The grid is
 chosen by their number. A cell that holds more than ``cell_rows`` points is dealt out to
@@ -58,6 +59,10 @@ COMMON = 1000
 RARE_SHARE = 0.75
 #: Share of pairs that may agree in none of these, at the least similarity of their rare shingles.
 KEY_LOSS = 2e-6
+#: Share of pairs of texts at a similarity's mean distance that may have no cell of the grid of candidates in common.
+GRID_LOSS = 1e-4
+#: Cells of that grid a fingerprint, beyond which a grid is taken only if there is none of fewer: each is a row to shuffle.
+GRID_CELLS = 80
 #: Rows compared at once; the matrix of a block stays within some 32 MB.
 BLOCK = 2048
 #: Texts and characters of a candidate class that one task compares; larger classes are dealt out.
@@ -249,13 +254,23 @@ def grid_visits(fp: np.ndarray, bands: int, segment_bits: int, radius: int) -> I
             yield rows[inside], band, own[inside] + int(moved @ weights), False
 
 
-def visits(distinct: DataFrame, bands: int, segment_bits: int, radius: int) -> DataFrame:
-    """(fp, band, cell, home) for every cell that a fingerprint visits; each word has bands of its own."""
+def turned(prints: np.ndarray, turn: int) -> np.ndarray:
+    """Fingerprints with their bits in the order of a turn, over all words; turn 0 leaves them."""
+    if not turn:
+        return prints
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    order = np.random.default_rng(SEED + turn).permutation(bits.shape[1])
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view(np.uint64)
+
+
+def visits(distinct: DataFrame, bands: int, segment_bits: int, radius: int, turns: int = 1) -> DataFrame:
+    """(fp, band, cell, home) for every cell that a fingerprint visits; each word of each turn has bands of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0)
-            for word, values in enumerate(np.ascontiguousarray(_from_arrow(prints).T)):
+            own = _from_arrow(prints)
+            for word, values in enumerate(np.concatenate([np.ascontiguousarray(turned(own, t).T) for t in range(turns)])):
                 for at, band, cell, home in grid_visits(values, bands, segment_bits, radius):
                     yield pa.RecordBatch.from_arrays([prints.take(pa.array(at)), pa.array(np.full(len(at), word * bands + band, np.int32)), pa.array(cell), pa.array(np.full(len(at), home))], names=["fp", "band", "cell", "home"])
 
@@ -264,8 +279,8 @@ def visits(distinct: DataFrame, bands: int, segment_bits: int, radius: int) -> D
 
 
 def shared_keys(distinct: DataFrame) -> DataFrame:
-    """(fp, band, cell, home) for rows (fp, keys): a cell for each key, in which all who have it are at home."""
-    return distinct.select("fp", F.lit(0).alias("band"), F.explode("keys").alias("cell"), F.lit(True).alias("home"))
+    """(fp, band, cell, home) for rows (fp, keys): a cell for each key, in which all who have it are at home, in no band of a grid."""
+    return distinct.select("fp", F.lit(-1).alias("band"), F.explode("keys").alias("cell"), F.lit(True).alias("home"))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -333,6 +348,38 @@ def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[apart], rows[tops[apart]]
 
 
+def grid_odds(segments: list[tuple[int, int]], reach: int, share: float) -> float:
+    """How likely the counts of two bands, in which a bit differs with the chance share, lie within the reach."""
+    odds = np.eye(1, reach + 1)[0]
+    for _, width in segments:
+        apart = np.ones(1)
+        for _ in range(width):
+            apart = np.convolve(apart, [share / 2, 1 - share, share / 2])
+        apart = apart[width:] * np.where(np.arange(width + 1) > 0, 2.0, 1.0)
+        odds = np.convolve(odds, apart[: reach + 1])[: reach + 1]
+    return float(odds.sum())
+
+
+def similarity_grid(n: int, similarity: float, words: int) -> tuple[int, int, int]:
+    """Bands and bits of a segment, and turns, of the grid with the least work that brings texts of a similarity together but for GRID_LOSS.
+
+    Only own cells are visited: at the distance of such texts, a fixed share of all bits, the
+    cells within a radius that is sure to hold both would bring most pairs together. More
+    fingerprints call for longer bands, of which two agree more rarely, so for more turns.
+    """
+    share = _bit_share(similarity)
+    grids = []
+    for bands in range(3, 9):
+        for bits in (1, 2):
+            cut = _bands(bands, bits)
+            missed = np.prod([1 - grid_odds(segments, 0, share) for segments in cut]) ** words
+            turns = max(1, int(np.ceil(np.log(GRID_LOSS) / np.log(min(max(missed, 1e-300), 1 - 1e-12)))))
+            partners = n * sum(grid_odds(segments, 0, 0.5) for segments in cut)
+            cells = turns * words * bands
+            grids.append((max(cells, GRID_CELLS), VISIT_COST * cells + turns * words * partners, (bands, bits, turns)))
+    return min(grids)[2]
+
+
 def grid_cost(n: float, radius: int, bands: int, segment_bits: int, words: int = 1) -> float:
     """Work of a grid a fingerprint, of n at random: its visits, and the fingerprints that it is compared with."""
     visits = partners = 0.0
@@ -445,6 +492,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return join_with_hot_keys(prints, materialise(named, "named"), "fp").select("id", "fp", "component_id")
 
 
+def _bit_share(similarity: float) -> float:
+    """Share of the bits in which fingerprints of sets of a similarity differ, in the mean of many shingles."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
 def radius_of(similarity: float, bits: int) -> int:
     """Hamming distance that fingerprints of texts with at least this Jaccard similarity of shingles hardly exceed.
 
@@ -452,7 +504,7 @@ def radius_of(similarity: float, bits: int) -> int:
     share of pi, by up to a quarter more where shingles are few (3/16 for 4 of 5). Three
     standard deviations above that mean.
     """
-    share = min(0.5, 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    share = min(0.5, 1.25 * _bit_share(similarity))
     return int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
 
 
@@ -531,9 +583,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay: of each class of near-duplicates the smallest id, all columns as they are.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is at least the
-    given one. Candidates share one of their Keys and have fingerprints of 256 bits within
-    radius_of; their components are compared text by text. The keys take the place of the
-    grid, which at such a radius would bring a fixed share of all pairs together.
+    given one. Candidates have a cell of similarity_grid in common and fingerprints of 256
+    bits within radius_of; their components are compared text by text. As the grid cannot be
+    sure of every pair at such a radius, those that share one of their Keys are verified too.
     """
     text = whole_text(f"`{text_col}`")
     key = F.unhex(F.md5(text))
@@ -541,7 +593,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = Keys(shingle_counts(docs, text_col, width), similarity)
     prints = materialise(fingerprints(rows, "row", "text", width, words=4, distinct=True, keys=keys).select("id.*", "fp", "keys"), "fingerprints")
     distinct = materialise(prints.select("fp", "keys").distinct(), "distinct-fingerprints")
-    roots = components(links_in_cells(shared_keys(distinct), radius_of(similarity, 4 * BITS), cell_rows))
+    points = distinct.select("fp").distinct()
+    bands, bits, turns = similarity_grid(distinct.count(), similarity, 4)
+    placed = visits(points, bands, bits, 0, turns).union(shared_keys(distinct))
+    roots = components(links_in_cells(placed, radius_of(similarity, 4 * BITS), cell_rows))
     texts = prints.select("key", "chars", "fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     texts = materialise(texts.select("key", "chars", F.xxhash64(F.coalesce("root", "fp")).alias("class")), "candidates")
     sizes = texts.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n > 1")

@@ -213,6 +213,26 @@ def test_the_grid_brings_every_near_pair_together(values, seed):
     assert near <= met
 
 
+def test_a_similarity_grid_brings_its_pairs_together_and_few_others():
+    rng = np.random.default_rng(3)
+    left = rng.integers(0, 2**64, (20_000, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((len(left), 256)) < np.arccos(1.6 / 1.8) / np.pi, axis=1).view(np.uint64)
+    shares = []
+    for n in (1000, 10**9):
+        bands, bits, turns = simhash_neardup.similarity_grid(n, 0.8, 4)
+
+        def met(right, bands=bands, bits=bits, turns=turns):
+            cells = []
+            for side in (left, right):
+                words = np.concatenate([simhash_neardup.turned(side, t).T for t in range(turns)])
+                cells.append(np.stack([cell for w in words for _, _, cell, _ in simhash_neardup.grid_visits(w, bands, bits, 0)]))
+            return (cells[0] == cells[1]).any(axis=0).mean()
+
+        assert met(left ^ flips) > 0.995
+        shares.append(met(rng.permutation(left)))
+    assert shares[0] > 10 * shares[1]
+
+
 def test_forest_connects_dense_clusters_without_all_pairs():
     rng = random.Random(2)
     base = rng.getrandbits(64)

@@ -456,3 +456,13 @@ def test_every_visitor_of_a_crowded_cell_meets_every_home(spark):
     want = {tuple(sorted(p)) for p in zip(homes.view(np.int64).tolist(), partners.view(np.int64).tolist(), strict=True)}
     found = simhash_neardup.links(prints, 4, bands=2, segment_bits=2, cell_rows=8).collect()
     assert {tuple(sorted((r.a, r.b))) for r in found} == want
+
+
+def test_the_grid_finds_near_copies_without_keys(spark, monkeypatch):
+    rows = _planted(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared_keys = simhash_neardup.shared_keys
+    monkeypatch.setattr(simhash_neardup, "shared_keys", lambda distinct: shared_keys(distinct).where("false"))
+    want = _near_classes(rows)
+    assert 60 < len(want) < 110
+    assert {r.doc_id for r in simhash_neardup.one_of_each(docs).collect()} == want
