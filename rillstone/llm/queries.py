@@ -56,7 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentence_pieces.decoded(sentence_pieces.encoded(table(spark, sf_dir, "documents")))
+    found = sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_crc32", "decoded_sha256", "ids")
 
 

@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from rillstone.llm.common import bounded_batches
 
 MARK = "▁"
-#: Distinct words, and pairs of pieces, that a worker remembers.
+#: Distinct words, pairs of pieces, and steps between states that a worker remembers.
 CACHE_WORDS = 600_000
 CACHE_PAIRS = 500_000
+CACHE_STEPS = 300_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -55,17 +56,14 @@ class Pieces:
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        # Merge order, and the lengths of the pieces that end in three characters (or are two), longest first.
+        # Merge order.
         self.order = [0.0] * len(pieces)
         for n, i in enumerate(sorted(range(len(pieces)), key=lambda i: -self.scores[i])):
             self.order[i] = float(n)
-        ends: dict[str, set[int]] = {}
-        for p in ids:
-            if len(p) > 1:
-                ends.setdefault(p[-3:], set()).add(len(p))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        # Pieces that merging makes from their own characters; no other can follow anything.
-        self.made = set() if unigram else {i for p, i in ids.items() if len(p) > 1 and self._halves(i)}
+        # Pieces that merging makes from their own characters; no other can follow anything. All that they start with.
+        self.made = {} if unigram else {p: i for p, i in ids.items() if len(p) > 1 and self._halves(i)}
+        self.starts = {p[:k] for p in self.made for k in range(len(p) + 1)} | {""}
+        self.steps: dict[str, tuple[str, tuple[tuple[int, int], ...], int | None]] = {}
 
     @classmethod
     def from_model(cls, path: str, unigram: bool = False) -> Pieces:
@@ -133,39 +131,52 @@ class Pieces:
                 found = (size, best[end - size] + self.scores[piece])
         return found
 
+    def _step(self, read: str) -> tuple[str, tuple[tuple[int, int], ...], int | None]:
+        """The state after a state and a character: the longest end of both that a made piece starts with.
+
+        With it the made pieces that end there, (length, id), longest first, and the character's own.
+        """
+        if len(self.steps) >= CACHE_STEPS:
+            self.steps.clear()
+        state = next(read[k:] for k in range(len(read) + 1) if read[k:] in self.starts)
+        pieces = tuple((len(state) - k, self.made[state[k:]]) for k in range(len(state)) if state[k:] in self.made)
+        found = self.steps[read] = (state, pieces, self.ids.get(read[-1]))
+        return found
+
     def learn(self, words: list[str]) -> None:
         """Encode distinct words in sorted order and remember them; forward states of shared prefixes are computed once.
 
         The state of a place is the last piece of the prefix up to it: its length and id, for a unigram
-        vocabulary its forward score too.
+        vocabulary its forward score too, for another where it is in the trie of made pieces.
         """
-        size_at, id_at, best, before = [0], [None], [0.0], ""
-        ids_get, sizes_get, pairs_get, made, follows, count = self.ids.get, self.sizes.get, self.pairs.get, self.made, self.follows, len(self.text)
+        size_at, id_at, best, at, before = [0], [None], [0.0], [""], ""
+        ids_get, steps_get, pairs_get, step, follows, count = self.ids.get, self.steps.get, self.pairs.get, self._step, self.follows, len(self.text)
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del size_at[shared + 1 :], id_at[shared + 1 :], best[shared + 1 :]
+            del size_at[shared + 1 :], id_at[shared + 1 :], best[shared + 1 :], at[shared + 1 :]
+            state = at[-1]
             for end in range(shared + 1, len(word) + 1):
                 if self.unigram:
                     size, score = self._best_sum(word, end, best)
                     best.append(score)
                     piece = ids_get(word[end - size : end])
                 else:
-                    longer = sizes_get(word[end - 3 : end], ()) if end > 2 else ()
-                    for size in (*longer, 2) if end > 1 else ():
-                        start = end - size
-                        if start < 0 or (piece := ids_get(word[start:end])) not in made:
-                            continue
-                        if not start or (left := id_at[start]) is None:
+                    read = state + word[end - 1]
+                    state, longer, single = steps_get(read) or step(read)
+                    at.append(state)
+                    for size, piece in longer:
+                        left = id_at[end - size]
+                        if left is None:  # the word's start, or a character that is no piece
                             break
                         fits = pairs_get(left * count + piece)
                         if follows(left, piece) if fits is None else fits:
                             break
                     else:
-                        size, piece = 1, ids_get(word[end - 1])
+                        size, piece = 1, single
                 size_at.append(size)
                 id_at.append(piece)
             before, end, ids = word, len(word), []
@@ -229,23 +240,39 @@ def load(name: str) -> Pieces:
     return _LOADED[name]
 
 
+def _ids(rows: list[bytes]) -> pa.Array:
+    sizes = array("i", [0])
+    for r in rows:
+        sizes.append(sizes[-1] + len(r) // 4)
+    values = pa.Array.from_buffers(pa.int32(), sizes[-1], [None, pa.py_buffer(b"".join(rows))])
+    offsets = pa.Array.from_buffers(pa.int32(), len(sizes), [None, pa.py_buffer(sizes)])
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def _digest(pieces: Pieces, rows: list[bytes]) -> list[pa.Array]:
+    """n_tokens, ids_crc32 and decoded_sha256 of ids, each row's decoded from them."""
+    texts = (pieces.decode(memoryview(r).cast("I").tolist()) for r in rows)
+    return [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array(map(zlib.crc32, rows), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())]
+
+
+_DIGEST = "ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string"
+_NAMES = ["id", "ids", "n_tokens", "ids_crc32", "decoded_sha256"]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), docs.schema[id_col].dataType.simpleString()
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """(id, ids) of every whole text."""
-    bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows, kind = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
-            rows = pieces.encode([t.as_py() or "" for t in batch.column(1)])
-            sizes = array("i", [0])
-            for r in rows:
-                sizes.append(sizes[-1] + len(r) // 4)
-            values = pa.Array.from_buffers(pa.int32(), sizes[-1], [None, pa.py_buffer(b"".join(rows))])
-            offsets = pa.Array.from_buffers(pa.int32(), len(sizes), [None, pa.py_buffer(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["id", "ids"])
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _ids(pieces.encode([t.as_py() or "" for t in batch.column(1)]))], names=["id", "ids"])
+
     return rows.mapInArrow(run, f"id {kind}, ids array<int>")
 
 
@@ -257,11 +284,20 @@ def decoded(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
-            out = []
-            for ids in batch.column(1):
-                values = ids.values.to_pylist() if ids.is_valid else []
-                out.append((len(values), zlib.crc32(array("I", values).tobytes()), hashlib.sha256(pieces.decode(values).encode()).hexdigest()))
-            columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "ids", "n_tokens", "ids_crc32", "decoded_sha256"])
-
-    return rows.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string")
+            own = [array("I", ids.values.to_pylist() if ids.is_valid else []).tobytes() for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_digest(pieces, own)], names=_NAMES)
+
+    return rows.select("id", "ids").mapInArrow(run, f"id {kind}, {_DIGEST}")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """decoded(encoded(docs)) in one pass, so that ids go through one worker and come out once."""
+    rows, kind = _texts(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(model)
+        for batch in batches:
+            own = pieces.encode([t.as_py() or "" for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _ids(own), *_digest(pieces, own)], names=_NAMES)
+
+    return rows.mapInArrow(run, f"id {kind}, {_DIGEST}")

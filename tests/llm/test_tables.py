@@ -466,3 +466,10 @@ def test_the_grid_finds_near_copies_without_keys(spark, monkeypatch):
     want = _near_classes(rows)
     assert 60 < len(want) < 110
     assert {r.doc_id for r in simhash_neardup.one_of_each(docs).collect()} == want
+
+
+def test_sentence_pieces_in_one_pass_are_those_of_two(docs, nothing):
+    two = sentence_pieces.decoded(sentence_pieces.encoded(clashing(docs)))
+    one = sentence_pieces.round_trip(clashing(docs))
+    assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sentence_pieces.round_trip(nothing).count() == 0
