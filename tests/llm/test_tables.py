@@ -473,3 +473,45 @@ def test_sentence_pieces_in_one_pass_are_those_of_two(docs, nothing):
     one = sentence_pieces.round_trip(clashing(docs))
     assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert sentence_pieces.round_trip(nothing).count() == 0
+
+
+def _roots(edges):
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {x: top(x) for x in root}
+
+
+def test_components_of_nodes_with_many_and_few_edges(spark):
+    rng = np.random.default_rng(12)
+    edges = [(100_000, k) for k in range(900)] + [(1000, 1000 + k) for k in range(1, 700)] + [(k, 1000 + k) for k in range(0, 400, 7)]
+    edges += [tuple(map(int, e)) for e in rng.integers(2000, 6000, (1800, 2))] + [(8000 + k, 8001 + k) for k in range(120)]
+    edges += edges[:1000]
+    want = {x.to_bytes(4, "big"): r.to_bytes(4, "big") for x, r in _roots([e for e in edges if e[0] != e[1]]).items()}
+    rows = [(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in edges] + [(None, b"x"), (b"y", None)]
+    found = components.components(spark.createDataFrame(rows, "a binary, b binary")).collect()
+    assert len(found) == len(want) and {bytes(r.node): bytes(r.root) for r in found} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_of_components_are_few_and_small_plans(spark, monkeypatch):
+    # What the driver keeps of every plan and stage is what fills its memory where the tables are small.
+    plans, materialise = [], components.materialise
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(components, "materialise", written)
+    stars = spark.createDataFrame([(100 * k, 100 * k + j) for k in range(60) for j in range(1, 40)], "a long, b long")
+    assert components.components(stars).count() == 2400 and len(plans) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(3000)], "a long, b long")
+    assert {r.root for r in components.components(chain).collect()} == {0} and len(plans) > 4
+    assert max(p.count("Exchange") for p in plans) <= 2 and not any("SortMergeJoin" in p for p in plans)
