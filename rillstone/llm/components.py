@@ -27,15 +27,14 @@ def _lowest(edges: DataFrame, rows: int) -> tuple[bool, list]:
 
 
 def _with_lowest(edges: DataFrame, hot: list) -> DataFrame:
-    """(u, v, m): the distinct edges, each with the smallest neighbour of its u."""
+    """(u, v, m): the edges, each with the smallest neighbour of its u."""
     spark, kind = edges.sparkSession, edges.schema["u"].dataType.simpleString()
-    salt, low = F.lit(0), F.first("v")
+    salt = F.lit(0)
     if hot:
         edges = edges.join(F.broadcast(spark.createDataFrame([tuple(x) for x in hot], f"u {kind}, hot {kind}")), "u", "left")
         salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(partitions(spark)))).otherwise(0)
-    near = Window.partitionBy("u", "salt").orderBy("v")
-    found = edges.withColumn("salt", salt).withColumns({"m": low.over(near), "before": F.lag("v").over(near)})
-    return found.where(~F.col("v").eqNullSafe(F.col("before"))).select("u", "v", (F.coalesce("hot", "m") if hot else F.col("m")).alias("m"))
+    found = edges.withColumn("salt", salt).withColumn("m", F.min("v").over(Window.partitionBy("u", "salt")))
+    return found.select("u", "v", (F.coalesce("hot", "m") if hot else F.col("m")).alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,9 +48,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         # Each node's larger neighbours go to its smallest one, or to itself where it is smaller.
         large = _with_lowest(both, hot).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = materialise(large, "component-stars")
+        large = materialise(large.distinct(), "component-stars")
         # Each node and its smaller neighbours go to the smallest of these.
         low = _with_lowest(large, _lowest(large, large.count())[1])
         ends = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        now = materialise(low.select(ends.alias("u"), F.col("m").alias("v")), "component-edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        now = materialise(low.select(ends.alias("u"), F.col("m").alias("v")).distinct(), "component-edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
