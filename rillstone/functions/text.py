@@ -29,6 +29,9 @@ SUMMARY = r"同比\s*([+\-]?\d+(?:\.\d+)?%)\s*[｜|]\s*环比\s*([+\-]?\d+(?:\.\
 PROVINCE = r"(?:^|\n)\s*(\d{1,2})\s+([\x{4e00}-\x{9fff}]{2,6})\s+([\d.]+)%\s+([\d.]+)"
 GENDER = r"(男性|女性)\s*\n?\s*占比\s*(\d+(?:\.\d+)?)%\s*TGI\s*(\d+(?:\.\d+)?)"
 ASCII_TOKEN = r"[A-Za-z0-9_./:%+-]+"
+#: Letters of which Spark's capital is not one letter, or came with Unicode 16, and what stands for them one by one.
+LONG_UPPER = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if len(c.upper()) > 1]
+NEW_UPPER = [chr(c) for c in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))]
 TAB_KEYS = ("keyword", "tab", "status", "source_url", "data_periods", "collected_at", "index_summaries", "has_data", "summary", "ranking_by_relevance", "ranking_by_growth", "provinces", "gender", "age_summary", "interest_summary", "message", "reason")
 
 
@@ -279,6 +282,15 @@ def keywords(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[,，、;；/\n]"), lambda x: stripped(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
 
 
+def upper(text: Column) -> Column:
+    """Capitals letter by letter as SQL has them: Spark's own upper() makes SS of a sharp s, and two letters of a ligature."""
+    odd = "".join(LONG_UPPER + NEW_UPPER)
+    capital = {"ß": "ẞ"} | {c: c.title() for c in LONG_UPPER if len(c.title()) == 1}
+    pieces = F.regexp_extract_all(text, F.lit(f"[{odd}]|[^{odd}]+"), F.lit(0))
+    one = lambda x: F.when(x.rlike(f"[{odd}]"), F.translate(x, odd, "".join(capital.get(c, c) for c in odd))).otherwise(F.upper(x))
+    return F.when(text.rlike(f"[{odd}]"), F.array_join(F.transform(pieces, one), "")).otherwise(F.upper(text))
+
+
 def percent_encoded(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 

@@ -227,7 +227,7 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {bm25_sql()}, e AS (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS ids FROM sparse WHERE rank <= 3 GROUP BY 1)
     SELECT query_id, text AS original_query, CASE WHEN item_id % 2 = 0 THEN text ELSE upper(text) END AS retrieval_query, ids FROM e JOIN benchmark ON item_id = query_id""")
 def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _asked(spark, sf_dir).select("query_id", F.col("text").alias("original_query"), F.when(F.col("query_id") % 2 == 1, F.upper("text")).alias("retrieval_query"))
+    asked = _asked(spark, sf_dir).select("query_id", F.col("text").alias("original_query"), F.when(F.col("query_id") % 2 == 1, T.upper(F.col("text"))).alias("retrieval_query"))
     found = rules.search_envelope(_sparse(spark, sf_dir, 3).select("query_id", "rank", "doc_id"), asked)
     return found.select("query_id", "original_query", "retrieval_query", F.array_join(F.transform("evidence", lambda x: x["doc_id"].cast("string")), ",").alias("ids"))
 
