@@ -1,9 +1,13 @@
 """What larger tables and odd texts showed: each case gave other results or grew beyond its bounds before."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
+from rillstone.operators import dense
 
 
 def one(spark, column, *values):
@@ -18,3 +22,44 @@ def test_upper_maps_letter_by_letter_as_sql_does(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", T.upper(F.col("t")).alias("u")).orderBy("n").collect()
     assert [r.u for r in rows] == want
     assert one(spark, T.upper, None) is None
+
+
+def test_nearest_holds_few_scores_and_agrees_with_a_full_sort():
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(700, 16)).astype(np.float32).astype(float)
+    matrix[300:600] = matrix[:300]  # ties, of which the earlier row is first
+    matrix[650:] = 0
+    asked = np.vstack([matrix[:40], np.zeros((1, 16)), rng.normal(size=(30, 16)) * 1e6])
+    full = np.round(np.einsum("qd,nd->qn", asked, matrix, optimize=False), 12)
+    at = np.argsort(-np.round(full, 9), axis=1, kind="stable")
+    for k in (1, 10, 700, 900):
+        q, d, score = dense.nearest(matrix, asked, k)
+        width = min(k, 700)
+        assert q.tolist() == np.repeat(np.arange(71), width).tolist()
+        small = q < 41  # beyond 12 places of large scores the order of additions may show
+        assert d[small].tolist() == at[:41, :width].ravel().tolist()
+        assert np.allclose(score, np.take_along_axis(full, at[:, :width], 1).ravel(), rtol=1e-12)
+
+
+def test_dense_blocks_stay_within_their_memory(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6000, 8)).astype(np.float32)
+    base = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "doc_id long, vector array<float>")
+    asked = base.select(F.col("doc_id").alias("query_id"), "vector")
+    peaks = []
+
+    def spied(*args):
+        tracemalloc.start()
+        try:
+            return nearest(*args)
+        finally:
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    nearest = dense.nearest
+    step = dense.CELLS // len(vectors)
+    spied(vectors.astype(float), vectors[:step].astype(float), 10)
+    assert max(peaks) < 64 << 20  # 6000 x 6000 scores alone are 288 MB
+    got = {(r.query_id, r["rank"]): r.doc_id for r in dense.topk(base, asked, 2).where("query_id < 50").collect()}
+    full = np.argsort(-np.round(vectors[:50].astype(float) @ vectors.T.astype(float), 9), axis=1, kind="stable")
+    assert got == {(q, r + 1): full[q, r] for q in range(50) for r in range(2)}
