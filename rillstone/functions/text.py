@@ -6,7 +6,7 @@ Patterns use Java syntax; (?U) where the class shorthands must cover Unicode.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -211,9 +211,14 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(COUNT_TOKEN), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: inside a lambda function Spark computes it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_windows(tokens: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(size))
-    return F.filter(F.transform(starts, lambda i: stripped(F.array_join(F.slice(tokens, i + 1, F.lit(size)), ""))), lambda x: x != "")
+    starts = lambda t: F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(size))
+    return bound(tokens, lambda t: F.filter(F.transform(starts(t), lambda i: stripped(F.array_join(F.slice(t, i + 1, F.lit(size)), ""))), lambda x: x != ""))
 
 
 def sentences(text: Column) -> Column:

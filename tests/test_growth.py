@@ -1,5 +1,6 @@
 """What larger tables and odd texts showed: each case gave other results or grew beyond its bounds before."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -63,3 +64,12 @@ def test_dense_blocks_stay_within_their_memory(spark):
     got = {(r.query_id, r["rank"]): r.doc_id for r in dense.topk(base, asked, 2).where("query_id < 50").collect()}
     full = np.argsort(-np.round(vectors[:50].astype(float) @ vectors.T.astype(float), 9), axis=1, kind="stable")
     assert got == {(q, r + 1): full[q, r] for q in range(50) for r in range(2)}
+
+
+def test_token_windows_tokenise_a_long_text_once(spark):
+    text = "ab, " * 40_000
+    rows = spark.createDataFrame([(text,), (None,), ("",), (" \n",)], "t string").select(T.token_windows(T.count_tokens(F.coalesce("t", F.lit(""))), 100).alias("w"))
+    start = time.perf_counter()
+    got = [r.w for r in rows.collect()]
+    assert time.perf_counter() - start < 20  # 1200 windows, each of which cut the whole text anew
+    assert [len(w) for w in got] == [1200, 0, 0, 0] and "".join(got[0]).replace(" ", "") == "ab," * 40_000
