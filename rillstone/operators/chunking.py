@@ -10,14 +10,16 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
+from rillstone.operators.bm25 import spread
 
 HEADING = r"^(#{1,6})\s+(.+)$"
 MAX_TOKENS, MIN_TOKENS = 500, 150
@@ -108,7 +110,7 @@ _SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
 
 
 def token_count(text: str) -> int:
-    return sum(1 for _ in _COUNT.finditer(text))
+    return len(_COUNT.findall(text))
 
 
 def windows(text: str, size: int) -> list[str]:
@@ -282,3 +284,97 @@ def structure_chunks(found: DataFrame, most: int = 400, least: int = 120) -> Dat
 
     order = Window.partitionBy("doc_id").orderBy("section_no", "part_no")
     return found.groupBy("doc_id", "section_no").applyInPandas(run, CHUNK).withColumn("chunk_index", F.row_number().over(order) - 1)
+
+
+# -- whole documents ----------------------------------------------------------------------------
+# The same cuts as sections(), blocks() and units(), for a text where it lies: no line is shuffled, no section a group.
+
+_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_HEADING = re.compile(r"#{1,6}[ \t\n\x0b\f\r]+(.+)", re.DOTALL)
+_UNIT = re.compile("(?<=[。！？.!?])[ \t\n\x0b\f\r]*")
+#: What (?U)\\s matches.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Documents whose results a task holds at once.
+DOCUMENTS = 64
+
+
+def section_texts(text: str) -> list[tuple[int, str, str]]:
+    """(section_no, section, text) as in sections()."""
+    found: list[tuple[int, str, list[str]]] = [(0, "Document", [])]
+    for line in _BREAK.split(text):
+        heading = _HEADING.fullmatch(s) if (s := line.strip(BLANKS)).startswith("#") else None
+        if heading:
+            found.append((len(found), heading[1].strip(BLANKS), []))
+        else:
+            found[-1][2].append(line.rstrip(BLANKS))
+    return [(n, name, body) for n, name, held in found if (body := "\n".join(held).strip(BLANKS))]
+
+
+def block_texts(text: str) -> list[tuple[str, str]]:
+    """(type, text) of a section's blocks as in blocks()."""
+    found: list[tuple[str, list[str]]] = []
+    last = ""
+    for line in text.split("\n"):
+        s = line.strip(BLANKS)
+        kind = "" if not s else "table" if s[0] == s[-1] == "|" else "paragraph"
+        if kind and kind == last:
+            found[-1][1].append(line)
+        elif kind:
+            found.append((kind, [line]))
+        last = kind
+    return [(kind, "\n".join(held).strip(BLANKS)) for kind, held in found]
+
+
+def unit_texts(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(type, text) of the blocks' units as in units()."""
+    out: list[tuple[str, str]] = []
+    for kind, text in found:
+        parts = [s for x in _UNIT.split(text) if (s := x.strip(BLANKS))] if kind == "paragraph" else []
+        out += [("sentence", s) for s in parts] if len(parts) > 1 else [(kind, text)]
+    return out
+
+
+def by_document(docs: DataFrame, rows_of: Callable[[str], Iterable[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """(doc_id, *schema): the rows of every text, made in the task that reads it; DOCUMENTS at a time."""
+    names = ["doc_id", *(c.strip().split(" ")[0] for c in schema.split(","))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(start, DOCUMENTS)
+                rows = [(key, *row) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text for row in rows_of(text)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *types], strict=True)], names=names)
+
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, f"doc_id long, {schema}")
+
+
+_CHUNKED = "chunk_index int, section_no int, part_no int, section string, token_count int, block_types array<string>, boundary_distance double, text string"
+_CHUNKED_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.float64(), pa.string()]
+
+
+def document_blocks(docs: DataFrame) -> DataFrame:
+    """As blocks(sections(docs))."""
+
+    def rows(text: str) -> Iterator[tuple]:
+        for number, name, body in section_texts(text):
+            for n, (kind, block) in enumerate(block_texts(body), 1):
+                yield number, name, n, kind, block
+
+    return by_document(docs, rows, "section_no int, section string, block_no int, type string, text string", [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()])
+
+
+def _numbered(text: str, chunks: Callable[[str, list[tuple[str, str]]], list[tuple]]) -> Iterator[tuple]:
+    found = ((number, chunk) for number, name, body in section_texts(text) for chunk in chunks(name, block_texts(body)))
+    for index, (number, chunk) in enumerate(found):
+        yield index, number, *chunk
+
+
+def document_semantic_chunks(docs: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS) -> DataFrame:
+    """As semantic_chunks(units(blocks(sections(docs))))."""
+    return by_document(docs, lambda text: _numbered(text, lambda name, found: fold(name, unit_texts(found), most, least)), _CHUNKED, _CHUNKED_TYPES)
+
+
+def document_structure_chunks(docs: DataFrame, most: int = 400, least: int = 120) -> DataFrame:
+    """As structure_chunks(blocks(sections(docs)))."""
+    return by_document(docs, lambda text: _numbered(text, lambda name, found: packed_blocks(name, found, most, least)), _CHUNKED, _CHUNKED_TYPES)

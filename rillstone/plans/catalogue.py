@@ -331,10 +331,6 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("parts").cast("long").alias("sentences"), F.sha2(F.array_join("parts", "|"), 256).alias("sentences_sha256"))
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.units(chunking.blocks(chunking.sections(read(spark, sf_dir, "documents").select("doc_id", "text"))))
-
-
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM documents), h AS (SELECT doc_id, count(*) FILTER (regexp_matches({STRIP.format('line')}, '^#{{1,6}}\s+.+$')) AS headings, count(*) FILTER ({STRIP.format('line')} <> '') AS filled FROM l GROUP BY 1)
     SELECT doc_id, headings, filled FROM h""")
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,19 +340,19 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.blocks(chunking.sections(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = chunking.document_blocks(read(spark, sf_dir, "documents"))
     return longs(found.select("doc_id", "section_no", "section", "block_no", "type", F.length("text").alias("n_chars")), "section_no", "block_no", "n_chars")
 
 
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.semantic_chunks(_units(spark, sf_dir))
+    found = chunking.document_semantic_chunks(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "chunk_index", "section", "token_count", F.array_join("block_types", ",").alias("block_types"), r6("boundary_distance"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query()
 def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunking.structure_chunks(chunking.blocks(chunking.sections(read(spark, sf_dir, "documents").select("doc_id", "text"))))
+    found = chunking.document_structure_chunks(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "chunk_index", "section", "token_count", F.array_join("block_types", ",").alias("block_types"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -1,5 +1,6 @@
 """What larger tables and odd texts showed: each case gave other results or grew beyond its bounds before."""
 
+import random
 import time
 import tracemalloc
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
-from rillstone.operators import dense
+from rillstone.operators import chunking, dense
 
 
 def one(spark, column, *values):
@@ -73,3 +74,25 @@ def test_token_windows_tokenise_a_long_text_once(spark):
     got = [r.w for r in rows.collect()]
     assert time.perf_counter() - start < 20  # 1200 windows, each of which cut the whole text anew
     assert [len(w) for w in got] == [1200, 0, 0, 0] and "".join(got[0]).replace(" ", "") == "ab," * 40_000
+
+
+def _odd_texts():
+    rng = random.Random(7)
+    bits = ["# A", "##  b ", "#x", "####### no", "　# wide", "#  ", "|a|b|", "|", "| x |  ", "", " \t", "one. two!three?  four", "。中文。句子！ ", "a..b", "x" * 900, "w " * 700 + ".", "s. " * 500, "|c|d|\n" * 300, " ", "\x1c", "\x1f", "\x85", "\r", "\r\n", "\x0b", " p ", "...", " q. r "]
+    return ["", " \n ", *["\n".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(250)], *["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(150)]]
+
+
+def test_chunks_of_whole_documents_equal_those_of_shuffled_lines(spark):
+    docs = spark.createDataFrame([*enumerate(_odd_texts()), (9000, None)], "doc_id long, text string").cache()
+    cut = chunking.blocks(chunking.sections(docs)).cache()
+    for new, old, key in (
+        (chunking.document_blocks(docs), cut, "block_no"),
+        (chunking.document_structure_chunks(docs), chunking.structure_chunks(cut), "chunk_index"),
+        (chunking.document_semantic_chunks(docs), chunking.semantic_chunks(chunking.units(cut)), "chunk_index"),
+    ):
+        rows = lambda df, names=sorted(old.columns), key=key: sorted(map(tuple, df.select("doc_id", "section_no", key, *names).collect()), key=lambda r: r[:3])
+        assert sorted(new.columns) == sorted(old.columns) and {f.name: f.dataType for f in new.schema} == {f.name: f.dataType for f in old.schema}
+        want = rows(old)
+        assert len(want) > 500 and rows(new) == want
+        plan = new._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan and "FlatMapGroups" not in plan
