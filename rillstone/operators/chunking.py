@@ -11,6 +11,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate, pairwise
 
 import pandas as pd
@@ -158,10 +159,17 @@ def table_parts(text: str, most: int) -> list[tuple[str, str]]:
 Distance = Callable[[str, str], float]
 
 
+@lru_cache(maxsize=2)
+def _word_counts(text: str) -> tuple[Counter, int]:
+    """The counts of a text's words and the sum of their squares; a text is compared with the one before, then with the one behind."""
+    found = Counter(re.findall(r"\w+", text.lower()))
+    return found, sum(n * n for n in found.values())
+
+
 def lexical_distance(a: str, b: str) -> float:
     """One less the cosine of word counts: the offline stand-in for a sentence encoder."""
-    x, y = (Counter(re.findall(r"\w+", t.lower())) for t in (a, b))
-    norm = math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+    (x, p), (y, q) = _word_counts(a), _word_counts(b)
+    norm = math.sqrt(p * q)
     return 1.0 - (sum(n * y[w] for w, n in x.items()) / norm if norm else 0.0)
 
 
