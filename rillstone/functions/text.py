@@ -5,10 +5,8 @@ Patterns use Java syntax; (?U) where the class shorthands must cover Unicode.
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -182,15 +180,10 @@ def calculate(op: Column, a: Column, b: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC, trimmed; null for text that is blank or holds lone surrogates. Spark has no function for it."""
-
-    @F.pandas_udf("string")
-    def composed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in values:
-            out = batch.map(lambda t: None if t is None or any("\ud800" <= c <= "\udfff" for c in t) else unicodedata.normalize("NFC", t).strip())
-            yield out.where(out != "", None)
-
-    return composed(text)
+    """Unicode NFC, trimmed; null for text that is blank or no valid UTF-8, as with lone surrogates. By the ICU library that Spark carries, so no text goes to Python."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    trimmed_ = F.regexp_replace(F.when(text.isNotNull() & F.is_valid_utf8(text), composed), r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
+    return bound(trimmed_, lambda t: F.nullif(t, F.lit("")))
 
 
 # -- tokens ----------------------------------------------------------------------------------

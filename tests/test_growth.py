@@ -3,13 +3,15 @@
 import random
 import time
 import tracemalloc
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
-from rillstone.operators import chunking, dense
+from rillstone.operators import bm25, chunking, dense
 
 
 def one(spark, column, *values):
@@ -96,3 +98,23 @@ def test_chunks_of_whole_documents_equal_those_of_shuffled_lines(spark):
         assert len(want) > 500 and rows(new) == want
         plan = new._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Aggregate" not in plan and "FlatMapGroups" not in plan
+
+
+def test_nfc_stays_out_of_python(spark):
+    texts = [None, "", "  \x1c\n", "é x ", " \x1få b\x1e　\n", "가 가", "Å", "a\n", "x" * 10, "ﬁ", "\U0001d15e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", T.nfc(F.col("t")).alias("r"))
+    assert [r.r for r in rows.orderBy("n").collect()] == [None if t is None else unicodedata.normalize("NFC", t).strip() or None for t in texts]
+    assert "Python" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.sql("SELECT cast(X'61EDA080' AS string) AS t").select(T.nfc(F.col("t")).alias("r")).first().r is None
+
+
+def test_postings_hold_few_documents_at_once(spark, monkeypatch):
+    """A task keeps the words of DOCUMENTS documents, not those of an Arrow batch of 10,000."""
+    seen = {}
+    docs = spark.createDataFrame([(0, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: seen.setdefault("run", run))
+    bm25._postings(docs, ["a", "b"], T.bm25_tokens)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array([["a", "b", "a", "c"]] * 5000)], names=["doc_id", "tokens"])
+    out = list(seen["run"](iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 5000
+    assert out[-1].to_pylist()[-1] == {"doc_id": 4999, "length": 4, "terms": [0, 1], "counts": [2, 1]}
