@@ -23,6 +23,8 @@ from rillstone.sources.shared import materialise
 K1, B = 1.5, 0.75
 #: Queries that a task scores at once, and terms that they may have in all.
 QUERIES, TERMS = 2048, 1_000_000
+#: Documents whose words or scores a task holds at once.
+DOCUMENTS = 256
 
 Tokens = Callable[[Column], Column]
 
@@ -58,7 +60,7 @@ def _postings(docs: DataFrame, terms: list[str], tokens: Tokens) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = sent.value
-        for batch in batches:
+        for batch in (whole.slice(start, DOCUMENTS) for whole in batches for start in range(0, whole.num_rows, DOCUMENTS)):
             lengths, ids, counts = [], [], []
             for words in batch.column(1).to_pylist():
                 held = Counter(filter(place.__contains__, words))
@@ -104,14 +106,14 @@ def _ranked_lists(held: DataFrame, asked: list[tuple[int, int, float]], weights:
         best = _Best(len(queries), k)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(start, DOCUMENTS)
                 scores = np.zeros((part.num_rows, len(queries)))
                 for n, (length, terms, counts) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     found = [(lists[t], tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))) for t, tf in zip(terms, counts, strict=True) if t in lists]
                     if found:
                         scores[n] = np.bincount(np.concatenate([q for (q, _), _ in found]), np.concatenate([w * x for (_, w), x in found]), len(queries))
-                best.add(scores, ids[start : start + 256])
+                best.add(scores, ids[start : start + DOCUMENTS])
         rows, columns = np.nonzero(best.score > 0)
         yield pa.RecordBatch.from_arrays([pa.array(queries[rows]), pa.array(best.ids[rows, columns]), pa.array(best.score[rows, columns])], names=["query_id", "doc_id", "score"])
 
