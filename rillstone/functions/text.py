@@ -51,22 +51,24 @@ def lines(text: Column) -> Column:
 # -- clean-up --------------------------------------------------------------------------------
 
 
-def _content_lines(text: Column) -> Column:
-    def wanted(line: Column) -> Column:
-        s = stripped(line)
-        out = s != PARSER_TITLE
-        for start in PARSER_LINES:
-            out = out & ~s.startswith(start)
-        return out
+def _parser_line(start: str, blank: str, end: str) -> str:
+    """A pattern of lines that the parser adds: a title, or one of the beginnings with something behind it."""
+    return rf"(?Um){start}{blank}*+(?:(?:{'|'.join(PARSER_LINES)}){blank}*+\S.*|{PARSER_TITLE}{blank}*+){end}"
 
-    return F.filter(lines(text), wanted)
+
+def _content_lines(text: Column) -> Column:
+    return F.filter(lines(text), lambda line: ~line.rlike(_parser_line(r"\A", r"\s", r"\z")))
 
 
 def normalise_markdown(text: Column) -> Column:
-    """Parser lines dropped, images as placeholders, lines right-trimmed, blank runs collapsed, one final newline."""
-    kept = F.transform(_content_lines(text), lambda x: F.regexp_replace(F.regexp_replace(x, MARKDOWN_IMAGE, "[Image: $1]"), r"(?U)\s+$", ""))
-    joined = F.regexp_replace(stripped(F.array_join(kept, "\n")), r"\n{3,}", "\n\n")
-    return F.when(F.length(joined) > 0, F.concat(joined, F.lit("\n"))).otherwise("")
+    """Parser lines dropped, images as placeholders, lines right-trimmed, blank runs collapsed, one final newline.
+
+    In passes over the whole text, each linear: a line on its own costs a call of every pattern.
+    """
+    blank = r"[^\S\n]"
+    kept = replaced(text, (LINE_BREAK, "\n"), (_parser_line("^", blank, r"(?:\n|\z)"), ""), (r"!\[[^\]\n]*\]\(([^)\n]+)\)", "[Image: $1]"), (rf"(?U)(?<!{blank}){blank}++(?=\n|\z)", ""))
+    joined = F.regexp_replace(stripped(kept), r"\n{3,}", "\n\n")
+    return bound(joined, lambda t: F.when(F.length(t) > 0, F.concat(t, F.lit("\n"))).otherwise(""))
 
 
 def flatten_markdown(text: Column, keep_tables: bool = False) -> Column:

@@ -1,6 +1,8 @@
 """What larger tables and odd texts showed: each case gave other results or grew beyond its bounds before."""
 
+import math
 import random
+import re
 import time
 import tracemalloc
 import unicodedata
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
-from rillstone.operators import bm25, chunking, dense
+from rillstone.operators import bm25, chunking, dense, metrics
 
 
 def one(spark, column, *values):
@@ -118,3 +120,33 @@ def test_postings_hold_few_documents_at_once(spark, monkeypatch):
     out = list(seen["run"](iter([batch])))
     assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 5000
     assert out[-1].to_pylist()[-1] == {"doc_id": 4999, "length": 4, "terms": [0, 1], "counts": [2, 1]}
+
+
+def test_normalised_markdown_is_linear_and_as_line_by_line(spark):
+    drop = ("Source: ", "Raw output directory: ", "## Source file: ")
+    bits = ["Source: x", "Source: ", " Source: y", "# Cleaned Magic-PDF / MinerU Text", "# Cleaned Magic-PDF / MinerU Text x", "## Source file:  z", "a ![x](y) b", "![a", "b](c)", "t  ", "　u　", "", " ", "\r", "\r\n", "\x1c", "\x85", "\n", "\n\n\n", "Raw output directory: q"]
+    rng = random.Random(11)
+    texts = ["", *["\n".join(rng.choices(bits, k=rng.randint(1, 8))) for _ in range(400)], "a" + " " * 300_000 + "b"]
+
+    def plain(text):
+        kept = [x for x in chunking._BREAK.split(text) if (s := x.strip(chunking.BLANKS)) != "# Cleaned Magic-PDF / MinerU Text" and not s.startswith(drop)]
+        out = re.sub(r"\n{3,}", "\n\n", "\n".join(re.sub(r"!\[[^\]]*\]\(([^)]+)\)", r"[Image: \1]", x).rstrip(chunking.BLANKS) for x in kept).strip(chunking.BLANKS))
+        return out + "\n" if out else ""
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", T.normalise_markdown(F.col("t")).alias("r")).orderBy("n")
+    start = time.perf_counter()
+    assert [r.r for r in rows.collect()] == list(map(plain, texts))
+    assert time.perf_counter() - start < 20  # the long run of blanks alone took its square
+
+
+def test_percentiles_equal_sparks_own_without_its_one_task(spark):
+    rng = random.Random(13)
+    rows = [("a", rng.gauss(0, 5)) for _ in range(30_000)] + [("b", float(rng.randint(0, 3))) for _ in range(5000)] + [("c", 1.5), ("d", None), (None, 2.0), (None, 4.0), (None, None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    shares = {"low": 0.0, "median": 0.5, "p95": 0.95, "top": 1.0}
+    want = df.groupBy("g").agg(F.avg("v").alias("mean"), *[F.percentile("v", p).alias(n) for n, p in shares.items()])
+    found = metrics.grouped_percentiles(df, "g", "v", shares)
+    key = lambda r: str(r.g)
+    for x, y in zip(sorted(found.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert x.g == y.g and all((x[n] is None and y[n] is None) or math.isclose(x[n], y[n], rel_tol=1e-12) for n in ("mean", *shares)), (x, y)
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
