@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
+from rillstone.sources.shared import materialise
 
 
 def gold_ranks(hits: DataFrame, gold: DataFrame) -> DataFrame:
@@ -107,6 +108,34 @@ def verdict(support: Column, clarity: Column, quality: Column) -> Column:
     return F.when((support == 0) | (clarity == 0), "remove").when((support == 2) & (clarity == 2) & (quality >= 1), "keep").otherwise("review")
 
 
+def grouped_percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float], margin: float = 0.002) -> DataFrame:
+    """(group, mean, one column for each share): exact percentiles, interpolated as percentile() does.
+
+    percentile() brings all distinct values of a group to one task. Here a first pass has bounds around each percentile, from a
+    sketch that is twenty times finer than the margin; a second counts what lies below and the values between, which alone are sorted.
+    """
+    number = F.col(value).cast("double")
+    ends = [x for p in shares.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = rows.groupBy(group).agg(F.count(value).alias("_n"), F.avg(value).alias("mean"), F.percentile_approx(number, ends, 10_000).alias("_ends"))
+    bounds = materialise(sketch, "percentile-bounds")
+    known = bounds.select(F.col(group).alias("_g"), "_n", "_ends")
+    near = rows.where(F.col(value).isNotNull()).select(F.col(group), number.alias("_v")).join(known, F.col(group).eqNullSafe(F.col("_g")))
+    large = F.col("_n") > 10_000  # in a small group neighbouring places may lie beyond the margin
+    tag = lambda k, name, p: F.struct(F.lit(name).alias("share"), F.lit(p).alias("p"), (large & (F.col("_v") < F.col("_ends")[2 * k])).alias("below"), (large & (F.col("_v") > F.col("_ends")[2 * k + 1])).alias("above"))
+    tagged = near.select(group, "_n", "_v", F.explode(F.array(*[tag(k, name, p) for k, (name, p) in enumerate(shares.items())])).alias("t")).where(~F.col("t.above"))
+    counted = tagged.groupBy(group, "_n", "t.share", "t.p", F.when(~F.col("t.below"), F.col("_v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(group, "share").orderBy(F.col("v").asc_nulls_first())
+    placed = counted.withColumn("last", F.sum("c").over(order))  # places last - c up to last, from 0 on
+    at = (F.col("_n") - 1) * F.col("p")
+    holds = lambda place: F.max(F.when((F.col("last") - F.col("c") <= place) & (place < F.col("last")), F.col("v")))
+    found = placed.groupBy(group, "share", at.alias("at")).agg(holds(F.floor(at)).alias("lower"), holds(F.ceil(at)).alias("upper"))
+    outside = F.raise_error(F.lit("a percentile lies outside its bounds"))
+    between = (F.ceil("at") - F.col("at")) * F.col("lower") + (F.col("at") - F.floor("at")) * F.col("upper")
+    exact = F.when(F.col("lower").isNull() | F.col("upper").isNull(), outside.cast("double")).when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(between)
+    each = found.groupBy(F.col(group).alias("_g")).agg(*[F.max(F.when(F.col("share") == name, exact)).alias(name) for name in shares])
+    return bounds.join(each, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "mean", *shares)
+
+
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """(column_name, value, n) of several columns, in one pass over the rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")

@@ -294,8 +294,8 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(avg(l_extendedprice), 6) AS mean, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS median, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
 def timing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(price), 6).alias("mean"), F.round(F.percentile(price, 0.5), 6).alias("median"), F.round(F.percentile(price, 0.95), 6).alias("p95"))
+    found = metrics.grouped_percentiles(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"median": 0.5, "p95": 0.95})
+    return found.select("l_returnflag", r6("mean"), r6("median"), r6("p95"))
 
 
 # -- chunks ------------------------------------------------------------------------------------
