@@ -446,8 +446,8 @@ LEXICON_SQL = f"""{STATS_SQL}, ok AS (SELECT term, frequency, minimum_pmi, bound
 
 @query(f"WITH {LEXICON_SQL} SELECT term, frequency, document_count, round(score, 6) AS score FROM lex ORDER BY round(score, 9) DESC, term LIMIT 300")
 def lexicon_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexicon.mined_terms(read(spark, sf_dir, "documents"))
-    return found.orderBy(F.round("score", 9).desc(), "term").limit(300).select("term", "frequency", "document_count", r6("score"))
+    found = lexicon.top_terms(read(spark, sf_dir, "documents"), 300)
+    return found.orderBy(F.round("score", 9).desc(), "term").select("term", "frequency", "document_count", r6("score"))
 
 
 def _kept_sql() -> str:
@@ -459,7 +459,7 @@ def _kept_sql() -> str:
 
 @query(f"WITH {LEXICON_SQL}, {_kept_sql()} SELECT term, frequency FROM k2")
 def fragment_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexicon.mined_terms(read(spark, sf_dir, "documents")).select("term", "frequency")
+    found = lexicon.valid_terms(read(spark, sf_dir, "documents")).select("term", "frequency")
     return lexicon.without_fragments(found, longest=lexicon.MAX_LENGTH)
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions import text as T
-from rillstone.operators import bm25, chunking, dense, metrics
+from rillstone.operators import bm25, chunking, dense, lexicon, metrics
 
 
 def one(spark, column, *values):
@@ -150,3 +150,24 @@ def test_percentiles_equal_sparks_own_without_its_one_task(spark):
     for x, y in zip(sorted(found.collect(), key=key), sorted(want.collect(), key=key), strict=True):
         assert x.g == y.g and all((x[n] is None and y[n] is None) or math.isclose(x[n], y[n], rel_tol=1e-12) for n in ("mean", *shares)), (x, y)
     assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_top_terms_equal_the_best_mined_terms_without_a_row_per_term_and_document(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = ["".join(rng.choices(letters, k=4)) for _ in range(25)]
+    texts = ["" for _ in range(60)]
+    for k, stem in enumerate(stems):  # a stem lies in words of many beginnings and ends, in 1 to 25 documents
+        for n in rng.sample(range(60), k + 1):
+            texts[n] += "".join(f" {rng.choice(letters)}{stem}{rng.choice(letters)}" for _ in range(6))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").cache()
+    every = lexicon.mined_terms(docs)
+    order = lambda df: df.orderBy(F.round("score", 9).desc(), "term")
+    columns = ["term", "frequency", "document_count", F.round("score", 9)]
+    want = order(every).select(*columns).collect()
+    assert len(want) > 10 and len({r.document_count for r in want}) > 3
+    for n in (10, 10_000):
+        assert order(lexicon.top_terms(docs, n)).select(*columns).collect() == want[:n]
+    valid = lexicon.valid_terms(docs)
+    assert sorted(r.term for r in valid.collect()) == sorted(r.term for r in want)
+    assert "document_count" not in valid.columns and "doc_id" not in valid._jdf.queryExecution().optimizedPlan().toString()
